@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil import dims
-from mailveil.operators import certificates, rules, scoring
-from mailveil.plans import corpus, views
+from mailveil.operators import baseline, certificates, rules, scoring
+from mailveil.plans import views
+from mailveil.plans.corpus import AS_OF, Analysis, history_and_current
+from mailveil.sources import history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,22 +34,26 @@ def _finding_rows(df: DataFrame) -> DataFrame:
 
 @query
 def rules_transport(spark, d):
-    return _finding_rows(rules.evaluate(corpus.facts(spark, d), rules.TRANSPORT))
+    a = Analysis(spark, d)
+    return _finding_rows(rules.evaluate(a.facts, rules.TRANSPORT))
 
 
 @query
 def rules_handshake(spark, d):
-    return _finding_rows(rules.evaluate(corpus.facts(spark, d), rules.HANDSHAKE, credentials=False))
+    a = Analysis(spark, d)
+    return _finding_rows(rules.evaluate(a.facts, rules.HANDSHAKE, credentials=False))
 
 
 @query
 def rules_certificate(spark, d):
-    return _finding_rows(rules.evaluate(corpus.facts(spark, d), rules.CERTIFICATE, credentials=False))
+    a = Analysis(spark, d)
+    return _finding_rows(rules.evaluate(a.facts, rules.CERTIFICATE, credentials=False))
 
 
 @query
 def rule_fire_counts(spark, d):
-    return rules.fire_counts(corpus.findings(spark, d))
+    a = Analysis(spark, d)
+    return rules.fire_counts(a.findings)
 
 
 @query
@@ -61,7 +67,153 @@ def cipher_suite_profiles(spark, d):
 
 @query
 def certificate_chains(spark, d):
-    return corpus.chains(spark, d).select(
+    a = Analysis(spark, d)
+    return a.chains.select(
         "capture_id", "session_id", "present", F.col("n_certs").cast("bigint").alias("n_certs"), "absent_kind",
         "hostname", "expired", "not_yet_valid", "days_to_expiry", "self_signed", "hostname_match",
         "chain_links_ok", "trusted", "trust_detail")
+
+
+# --------------------------------------------------------------------------- baseline
+def _deviation_rows(df: DataFrame) -> DataFrame:
+    return df.select("capture_id", "session_id", "endpoint_key", "code", "rule_id", "severity", "exploitability", text("evidence"))
+
+
+@query
+def baseline_observations(spark, d):
+    a = Analysis(spark, d)
+    return a.observations.select(
+        "capture_id", "session_id", "endpoint_key", "starttls_offered", "tls_used", "version", "cipher", "grade",
+        "ja3s", "cert_fp", "cert_issuer", "self_signed", "trusted", "clean")
+
+
+@query
+def baseline_deviations(spark, d):
+    history, current = history_and_current(spark, d)
+    return _deviation_rows(baseline.deviations(current, history))
+
+
+@query
+def baseline_escalation(spark, d):
+    a = Analysis(spark, d, staged=True)
+    rows = baseline.escalate(a.findings, a.deviations)
+    return rows.where("escalated_from IS NOT NULL").select(
+        "capture_id", "session_id", "rule_id", "severity", "escalated_from")
+
+
+@query
+def baseline_session_deviations(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return _deviation_rows(a.deviations)
+
+
+@query
+def baseline_clean_final(spark, d):
+    a = Analysis(spark, d, staged=True)
+    found = a.deviations
+    return baseline.settle_clean(a.observations, a.all_findings, found).select(
+        "capture_id", "session_id", "clean")
+
+
+@query
+def endpoint_profiles(spark, d):
+    rows = baseline.endpoint_profiles(views.view(spark, d, "v_observations"))
+    entries = F.transform(F.map_entries("versions"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.withColumn("versions", F.coalesce(F.array_join(entries, ","), F.lit("")))
+
+
+@query
+def endpoint_mixed_offers(spark, d):
+    return baseline.mixed_offers(views.view(spark, d, "v_observations"))
+
+
+@query
+def history_unlearned(spark, d):
+    stored, current = history_and_current(spark, d)
+    repeated = current.unionByName(current)   # a repeated run must add nothing
+    known = stored.unionByName(current.where(F.col("session_id") % 10 == 0))
+    return history.unlearned(repeated, known).select("capture_id", "session_id", "endpoint_key")
+
+
+@query
+def history_newest_features(spark, d):
+    rows = views.view(spark, d, "v_observations").withColumn(
+        "features", F.when(F.col("grade").isNotNull(), F.array(F.col("version").cast("double")))
+        .otherwise(F.array().cast("array<double>")))
+    return history.feature_history(rows).select("capture_id", "session_id", "ts")
+
+
+@query
+def history_of_endpoint(spark, d):
+    return history.endpoint_history(views.view(spark, d, "v_observations"), "203.0.113.8:25").select(
+        "capture_id", "session_id", "ts", "tls_used", "version")
+
+
+# --------------------------------------------------------------------------- features
+@query
+def session_feature_vector(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return a.features
+
+
+# --------------------------------------------------------------------------- scoring
+@query
+def finding_risk(spark, d):
+    a = Analysis(spark, d)
+    return a.scored.select("capture_id", "session_id", "rule_id", F.round("exposure", 4).alias("exposure"),
+                                          "criticality", "risk")
+
+
+@query
+def session_risk(spark, d):
+    a = Analysis(spark, d, staged=True)
+    risk = scoring.session_rule_risk(a.sessions, a.all_findings)
+    model = F.when(F.col("session_id") % 3 != 0, (F.col("session_id") % 101).cast("double"))
+    outlier = F.col("session_id") % 17 == 0
+    return risk.select("*", scoring.blend(F.col("rule_risk"), model, outlier).alias("risk"))
+
+
+@query
+def finding_priority(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return a.ranked.select("capture_id", "session_id", "rule_id", "severity", "risk", "priority")
+
+
+@query
+def unique_issues(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return scoring.unique_issues(scoring.merge_rule_ids(a.all_findings))
+
+
+@query
+def severity_counts(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return scoring.severity_counts(a.all_findings, ["capture_id"])
+
+
+@query
+def endpoint_scores(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return scoring.endpoint_scores(a.sessions, a.all_findings).withColumn(
+        "score", F.col("score").cast("bigint"))
+
+
+@query
+def posture_by_capture(spark, d):
+    a = Analysis(spark, d, staged=True)
+    rows = a.posture
+    return rows.select("capture_id", "sessions", "assessed", F.col("score").cast("bigint").alias("score"), "grade",
+                       F.col("earned_score").cast("bigint").alias("earned_score"), "unique_issues", *dims.SEVERITIES,
+                       text("floor_reasons"))
+
+
+@query
+def capture_flags(spark, d):
+    a = Analysis(spark, d)
+    return scoring.capture_flags(a.facts)
+
+
+@query
+def severity_gate(spark, d):
+    a = Analysis(spark, d)
+    return scoring.severity_gate(a.findings.where("capture_id <> 'cap3' OR severity <> 'critical'"), "critical")

@@ -1,52 +1,116 @@
-"""The analysis steps wired together over the derivation views, one function per table.
+"""The analysis steps wired together over the derivation views.
 
-Each function returns a lazy DataFrame; a later step takes the earlier ones as plain
-inputs, so Catalyst sees one plan from scan to score.
+``Analysis`` holds one lazy DataFrame per step. Steps that several later steps read
+are written once to the checkpoint folder when ``staged`` is set, so a fan-out never
+recomputes the joins below it and a lost executor restarts from the stage, not the scan.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailveil.operators import certificates, rules, scoring
+from mailveil.operators import baseline, certificates, features, rules, scoring
 from mailveil.plans import views
+from mailveil.session import cut_lineage
 
 AS_OF = 946684800  # epoch seconds used to date CA certificates in reports
 
 
-def trust_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return (views.table(spark, d, "supplier")
-            .select(F.concat(F.lit("O=Trust,CN=Issuing CA "), F.col("s_suppkey") % 5).alias("subject"))
-            .distinct()
-            .union(views.table(spark, d, "region").select(F.lit("CN=Root CA,O=Trust").alias("subject")).distinct()))
-
-
-def assets(spark: SparkSession, d: str) -> DataFrame:
-    """Asset weights by address, endpoint, name and default."""
-    nation = views.table(spark, d, "nation")
-    n = F.col("n_nationkey")
-    by_ip = nation.select(F.concat(F.lit("10.1.0."), n * 2 + 1).alias("asset"), (1.0 + n / 50).alias("weight"))
-    by_key = nation.select(F.concat(F.lit("93.184.216."), n, F.lit(":25")).alias("asset"), F.lit(1.5).alias("weight"))
-    by_name = nation.where(n < 5).select(F.concat(F.lit("mx"), n, F.lit(".example.org")).alias("asset"),
-                                         F.lit(1.25).alias("weight"))
-    rest = nation.where(n == 0).select(F.lit("default").alias("asset"), F.lit(0.9).alias("weight"))
-    return by_ip.union(by_key).union(by_name).union(rest)
-
-
-def chains(spark: SparkSession, d: str) -> DataFrame:
-    return certificates.chains(views.sessions(spark, d), views.handshakes(spark, d),
-                               views.certificates(spark, d), trust_anchors(spark, d))
-
-
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    wide = rules.session_facts(views.sessions(spark, d), views.handshakes(spark, d), chains(spark, d))
-    return rules.mark_ehlo_elsewhere(wide)
-
-
-def findings(spark: SparkSession, d: str) -> DataFrame:
-    return rules.evaluate(facts(spark, d))
-
-
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_findings(findings(spark, d), views.sessions(spark, d), assets(spark, d))
+class Analysis:
+    def __init__(self, spark: SparkSession, folder: str, staged: bool = False):
+        self.spark, self.folder, self.staged = spark, folder, staged
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.staged else df
+
+    # ------------------------------------------------------------------ inputs
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return views.sessions(self.spark, self.folder)
+
+    @cached_property
+    def handshakes(self) -> DataFrame:
+        return views.handshakes(self.spark, self.folder)
+
+    @cached_property
+    def certificates(self) -> DataFrame:
+        return views.certificates(self.spark, self.folder)
+
+    @cached_property
+    def trust_anchors(self) -> DataFrame:
+        issuing = views.table(self.spark, self.folder, "supplier").select(
+            F.concat(F.lit("O=Trust,CN=Issuing CA "), F.col("s_suppkey") % 5).alias("subject")).distinct()
+        root = views.table(self.spark, self.folder, "region").select(F.lit("CN=Root CA,O=Trust").alias("subject")).distinct()
+        return issuing.union(root)
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        """Asset weights by address, endpoint, name and default."""
+        nation = views.table(self.spark, self.folder, "nation")
+        n = F.col("n_nationkey")
+        by_ip = nation.select(F.concat(F.lit("10.1.0."), n * 2 + 1).alias("asset"), (1.0 + n / 50).alias("weight"))
+        by_key = nation.select(F.concat(F.lit("93.184.216."), n, F.lit(":25")).alias("asset"), F.lit(1.5).alias("weight"))
+        by_name = nation.where(n < 5).select(F.concat(F.lit("mx"), n, F.lit(".example.org")).alias("asset"),
+                                             F.lit(1.25).alias("weight"))
+        rest = nation.where(n == 0).select(F.lit("default").alias("asset"), F.lit(0.9).alias("weight"))
+        return by_ip.union(by_key).union(by_name).union(rest)
+
+    @cached_property
+    def captures(self) -> DataFrame:
+        """All captures under analysis, also those without a mail session."""
+        return views.table(self.spark, self.folder, "supplier").select(
+            F.concat(F.lit("cap"), F.col("s_suppkey") % 23).alias("capture_id")).distinct()
+
+    # ------------------------------------------------------------------ steps
+    @cached_property
+    def chains(self) -> DataFrame:
+        return certificates.chains(self.sessions, self.handshakes, self.certificates, self.trust_anchors)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        wide = rules.session_facts(self.sessions, self.handshakes, self.chains)
+        return self._stage(rules.mark_ehlo_elsewhere(wide))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return rules.evaluate(self.facts)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return scoring.score_findings(self.findings, self.sessions, self.assets)
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        return self._stage(baseline.observe(self.facts, self.findings))
+
+    @cached_property
+    def deviations(self) -> DataFrame:
+        return self._stage(baseline.deviations(self.observations))
+
+    @cached_property
+    def all_findings(self) -> DataFrame:
+        """Rule findings after escalation, plus the baseline's own findings."""
+        raised = baseline.escalate(self.findings, self.deviations)
+        own = baseline.as_findings(self.deviations, self.sessions)
+        return self._stage(raised.unionByName(own.withColumn("escalated_from", F.lit(None).cast("string"))))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.features(self.facts, baseline.deviation_codes(self.deviations))
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return scoring.prioritise(scoring.score_findings(self.all_findings, self.sessions, self.assets))
+
+    @cached_property
+    def posture(self) -> DataFrame:
+        return scoring.posture(self.captures, scoring.capture_flags(self.facts), self.all_findings)
+
+
+def history_and_current(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Observation rows split into stored history and the captures under analysis."""
+    rows = views.view(spark, folder, "v_observations").withColumn("strip_indicators", views.words("strip_text", "\\|"))
+    return rows.where("capture_id = 'stored'"), rows.where("capture_id <> 'stored'")

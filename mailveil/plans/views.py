@@ -9,6 +9,7 @@ Spark and DuckDB share. ``$SEC(x)`` (epoch seconds) and ``$SERIES(n)`` (one row
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,10 +222,12 @@ def with_clause(names: list[str]) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=256)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derivation view as a DataFrame (lazy; nothing is registered globally)."""
     names = _closure([name])
@@ -248,6 +251,7 @@ def ints(name: str) -> F.Column:
     return words(name, ",").cast("array<bigint>")
 
 
+@lru_cache(maxsize=256)
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session records with their list columns."""
     df = view(spark, sf_dir, "v_sessions")
@@ -264,6 +268,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
            "auth_mech", "auth_user", "auth_exposed", "auth_accepted")
 
 
+@lru_cache(maxsize=256)
 def handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = view(spark, sf_dir, "v_handshakes")
     alerts = F.transform(words("alerts_text", ","), lambda a: F.struct(
@@ -276,6 +281,7 @@ def handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("client_versions_text", "client_ciphers_text", "groups_text", "alerts_text", "server_extensions_text")
 
 
+@lru_cache(maxsize=256)
 def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = view(spark, sf_dir, "v_certificates")
     return df.select("*", words("sans_text", ",").alias("sans"), words("key_usage_text", ",").alias("key_usage")) \

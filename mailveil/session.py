@@ -10,7 +10,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "mailveil", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, quiet: bool = False) -> SparkSession:
     """A session with adaptive execution on; sizes stay with the cluster unless given."""
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.adaptive.enabled", "true")
@@ -21,6 +21,8 @@ def build_session(app: str = "mailveil", master: str | None = None,
     if master:
         builder = (builder.master(master).config("spark.ui.enabled", "false")
                    .config("spark.driver.memory", "12g"))
+    if quiet:
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

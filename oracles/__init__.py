@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["rules"]
+PARTS = ["rules", "baseline"]
 
 
 def all_sql() -> dict[str, str]:

@@ -202,6 +202,11 @@ CERT_RULES = [
 ]
 
 
+def round1(expr: str, digits: int = 1) -> str:
+    """Round the double's own decimal digits, not a value scaled in binary first."""
+    return f"cast(round(cast({expr} AS decimal(38, 15)), {digits}) AS double)"
+
+
 def union(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
