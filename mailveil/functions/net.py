@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from mailveil.dims import PORT_CLASS, lookup
 
-# IPv4 special-purpose ranges that are not globally reachable.
-PRIVATE_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16),
-              ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
-              ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
-# Addresses inside 192.0.0.0/24 that are reachable all the same.
-PUBLIC_V4 = [("192.0.0.9", 32), ("192.0.0.10", 32)]
-# IPv6 prefixes (first 16-bit groups, lowest and highest value).
-PRIVATE_V6_FIRST = [(0x0100, 0x0100), (0xFC00, 0xFDFF), (0xFE80, 0xFEBF)]
+# Special-purpose address blocks that are not globally reachable, as patterns.
+PRIVATE_V4 = (r"^(0|10|127|24\d|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.0\.[02]\.|^192\.168\."
+              r"|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.")
+PUBLIC_V4 = r"^192\.0\.0\.(9|10)$"
+PRIVATE_V6 = (r"^::1?$|^64:ff9b:1:|^100::|^2001:(:|[01]?[0-9a-f]{1,2}:)|^2001:0?db8:|^2002:|^3fff:(:|0?[0-9a-f]{1,3}:)"
+              r"|^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:")
+PUBLIC_V6 = r"^2001:1::[12]$|^2001:3:|^2001:4:112:|^2001:[23][0-9a-f]:"
+V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
 
 def hostport(host: Column, port: Column) -> Column:
@@ -27,28 +27,9 @@ def port_class(port: Column) -> Column:
     return F.coalesce(lookup(PORT_CLASS, port), F.lit("nonstandard"))
 
 
-def ipv4_number(ip: Column) -> Column:
-    part = [F.split_part(ip, F.lit("."), F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    number = part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
-
-
-def _in_v4(number: Column, ranges) -> Column:
-    hit = F.lit(False)
-    for base, bits in ranges:
-        octets = [int(x) for x in base.split(".")]
-        low = sum(o << s for o, s in zip(octets, (24, 16, 8, 0)))
-        hit = hit | number.between(low, low + (1 << (32 - bits)) - 1)
-    return hit
-
-
 def is_private(ip: Column) -> Column:
     """True for addresses that are not globally reachable; false for foreign text."""
-    number = ipv4_number(ip)
-    v4 = _in_v4(number, PRIVATE_V4) & ~_in_v4(number, PUBLIC_V4)
-    low = F.lower(ip)
-    first = F.conv(F.split_part(low, F.lit(":"), F.lit(1)), 16, 10).cast("bigint")
-    v6 = low.isin("::", "::1") | low.rlike("^2001:0*db8:") | low.rlike(r"^3fff:0{0,3}")
-    for lo, hi in PRIVATE_V6_FIRST:
-        v6 = v6 | first.between(lo, hi)
-    return F.coalesce(F.when(F.instr(ip, ":") > 0, v6).otherwise(v4), F.lit(False))
+    low = F.regexp_replace(F.lower(ip), r"^::ffff:(?=\d+\.)", "")
+    v4 = low.rlike(V4) & low.rlike(PRIVATE_V4) & ~low.rlike(PUBLIC_V4)
+    v6 = low.rlike(PRIVATE_V6) & ~low.rlike(PUBLIC_V6)
+    return F.coalesce(F.when(F.instr(low, ":") > 0, v6).otherwise(v4), F.lit(False))

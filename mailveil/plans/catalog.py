@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil import dims
-from mailveil.operators import baseline, certificates, rules, scoring
+from mailveil.operators import baseline, certificates, flows, rules, scoring
 from mailveil.plans import views
-from mailveil.plans.corpus import AS_OF, Analysis, history_and_current
+from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
 from mailveil.sources import history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,3 +217,85 @@ def capture_flags(spark, d):
 def severity_gate(spark, d):
     a = Analysis(spark, d)
     return scoring.severity_gate(a.findings.where("capture_id <> 'cap3' OR severity <> 'critical'"), "critical")
+
+
+# --------------------------------------------------------------------------- flows and streams
+CHUNK = 64   # small chunks, so that the stand-in streams cross chunk borders
+
+
+def _end(name: str) -> F.Column:
+    return F.concat(F.col(f"{name}.ip"), F.lit(":"), F.col(f"{name}.port"))
+
+
+def _pair() -> list[F.Column]:
+    return [F.concat(F.col("conv_key.a.ip"), F.lit(":"), F.col("conv_key.a.port")).alias("side_a"),
+            F.concat(F.col("conv_key.b.ip"), F.lit(":"), F.col("conv_key.b.port")).alias("side_b"), "conv_no"]
+
+
+@query
+def flow_conversations(spark, d):
+    return Streams(spark, d).conversations.select("capture_id", "frame", *_pair())
+
+
+@query
+def flow_roles(spark, d):
+    return Streams(spark, d, staged=True).roles.select(
+        "capture_id", *_pair(), _end("client").alias("client"), _end("server").alias("server"), "role_reason", "handshake_seen")
+
+
+@query
+def stream_offsets(spark, d):
+    return Streams(spark, d, staged=True).placed.select("capture_id", *_pair(), "dir", "frame", "off", "len")
+
+
+@query
+def stream_spans(spark, d):
+    return Streams(spark, d, staged=True).spans.select("capture_id", *_pair(), "dir", "span_off", "span_len", "frame")
+
+
+@query
+def stream_bytes(spark, d):
+    return Streams(spark, d, staged=True, chunk_bytes=CHUNK).streams.select(
+        "capture_id", *_pair(), "dir", "chunk", "off", "hex_bytes")
+
+
+@query
+def stream_statistics(spark, d):
+    return Streams(spark, d, staged=True, chunk_bytes=CHUNK).stats.select(
+        "capture_id", *_pair(), "dir", "segments", "retransmissions", "out_of_order", "overlaps_trimmed",
+        "overlap_conflicts", "gaps", "bytes")
+
+
+@query
+def flow_records(spark, d):
+    return Streams(spark, d, staged=True, chunk_bytes=CHUNK).flows.select(
+        "capture_id", *_pair(), _end("client").alias("client"), _end("server").alias("server"), "start_ts", "end_ts", "frames",
+        "client_bytes", "server_bytes", "client_gaps", "server_gaps", "client_retransmissions", "server_retransmissions",
+        "client_overlap_conflicts", "server_overlap_conflicts")
+
+
+@query
+def frames_for_byte_ranges(spark, d):
+    s = Streams(spark, d, staged=True)
+    ranges = s.spans.select(*flows.STREAM).distinct().select(
+        *flows.STREAM, F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in (
+            (0, 10), (20, 60), (100, 101), (30, 30))])).alias("r")).select(*flows.STREAM, "r.lo", "r.hi")
+    return flows.frames_for_range(s.spans, ranges, flows.STREAM, bucket=CHUNK).select(
+        "capture_id", *_pair(), "dir", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), text("frames", ","))
+
+
+@query
+def session_numbers(spark, d):
+    return Streams(spark, d, staged=True, chunk_bytes=CHUNK).numbered.select("capture_id", *_pair(), "session_no", "session_id")
+
+
+@query
+def unclassified_flows(spark, d):
+    s = Streams(spark, d, staged=True, chunk_bytes=CHUNK)
+    return flows.unclassified(s.flows, s.mail_flows)
+
+
+@query
+def flow_totals(spark, d):
+    s = Streams(spark, d, staged=True, chunk_bytes=CHUNK)
+    return flows.flow_totals(s.flows, s.mail_flows)

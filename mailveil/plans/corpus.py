@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailveil.operators import baseline, certificates, features, rules, scoring
+from mailveil.operators import baseline, certificates, features, flows, rules, scoring
 from mailveil.plans import views
 from mailveil.session import cut_lineage
 
@@ -114,3 +114,62 @@ def history_and_current(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
     """Observation rows split into stored history and the captures under analysis."""
     rows = views.view(spark, folder, "v_observations").withColumn("strip_indicators", views.words("strip_text", "\\|"))
     return rows.where("capture_id = 'stored'"), rows.where("capture_id <> 'stored'")
+
+
+class Streams:
+    """Segments to streams for one corpus, with the fan-out points staged."""
+
+    def __init__(self, spark: SparkSession, folder: str, staged: bool = False, chunk_bytes: int = flows.CHUNK_BYTES):
+        self.spark, self.folder, self.staged, self.chunk_bytes = spark, folder, staged, chunk_bytes
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.staged else df
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return views.view(self.spark, self.folder, "v_segments")
+
+    @cached_property
+    def conversations(self) -> DataFrame:
+        return self._stage(flows.split_conversations(self.segments))
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        return flows.assign_roles(self.conversations)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return self._stage(flows.place(flows.directed(self.conversations, self.roles)))
+
+    @cached_property
+    def contributions(self) -> DataFrame:
+        return self._stage(flows.surviving_spans(self.placed))
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return flows.spans(self.contributions)
+
+    @cached_property
+    def streams(self) -> DataFrame:
+        return flows.assemble(self.contributions, self.placed, chunk_bytes=self.chunk_bytes)
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return flows.conflicts(self.placed, self.contributions, self.streams, chunk_bytes=self.chunk_bytes)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return flows.stream_stats(self.placed, self.contributions, self.conflicts)
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        return self._stage(flows.build_flows(self.conversations, self.roles, self.stats))
+
+    @cached_property
+    def mail_flows(self) -> DataFrame:
+        """Flows a dialogue claims: the server side is a mail port and the client spoke."""
+        return self.flows.where(F.col("server.port").isin(25, 110, 143) & (F.col("client_bytes") > 20))
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        return flows.number_sessions(self.mail_flows)

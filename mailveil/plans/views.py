@@ -154,20 +154,22 @@ FROM events
 """
 
 VIEWS["v_segments"] = """
-SELECT l_orderkey AS flow_id,
-  (l_orderkey * 64 + l_linenumber * 8 + cast(l_quantity AS bigint) % 8) * 100003 + l_partkey AS frame,
-  $SEC(l_shipdate) AS ts, concat('cap', l_orderkey % 20) AS capture_id,
-  concat('10.20.0.', l_orderkey % 200) AS client_ip, 40000 + l_orderkey % 20000 AS client_port,
+SELECT capture_id, frame, ts, flags, payload,
+  CASE WHEN flags IN (2, 18) THEN 4294967289 ELSE seq0 END AS seq, from_client,
+  CASE WHEN from_client THEN client_ip ELSE server_ip END AS src, CASE WHEN from_client THEN client_port ELSE server_port END AS sport,
+  CASE WHEN from_client THEN server_ip ELSE client_ip END AS dst, CASE WHEN from_client THEN server_port ELSE client_port END AS dport
+FROM (SELECT concat('cap', l_orderkey % 20) AS capture_id,
+  (((l_orderkey * 8 + l_linenumber) * 51 + cast(l_quantity AS bigint)) * 100003 + l_partkey) * 1009 + l_suppkey % 1009 AS frame,
+  $SEC(l_shipdate) AS ts, concat('10.20.0.', l_orderkey % 200) AS client_ip, 40000 + l_orderkey % 3000 AS client_port,
   concat('203.0.113.', l_orderkey % 50) AS server_ip,
   CASE l_orderkey % 4 WHEN 0 THEN 25 WHEN 1 THEN 143 WHEN 2 THEN 110 ELSE 8080 END AS server_port,
-  CASE WHEN l_suppkey % 5 = 0 THEN 's2c' ELSE 'c2s' END AS dir,
-  CASE WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 24 WHEN l_linenumber = 7 THEN 17 WHEN l_linenumber = 1 THEN 2
-       WHEN l_linenumber = 2 THEN 18 WHEN l_partkey % 31 = 0 THEN 4 ELSE 24 END AS flags,
-  cast((4294967290 + (l_linenumber - 1) * 25) % 4294967296 AS bigint) AS seq,
-  cast(4294967289 AS bigint) AS isn,
+  l_suppkey % 5 <> 0 AS from_client,
+  CASE WHEN l_linenumber = 1 AND l_linestatus = 'F' THEN 24 WHEN l_linenumber = 1 THEN 2 WHEN l_linenumber = 2 AND l_suppkey % 5 = 0 THEN 18
+       WHEN l_linenumber = 7 THEN 17 WHEN l_partkey % 31 = 0 THEN 20 ELSE 24 END AS flags,
+  cast((4294967290 + (l_linenumber - 1) * 25) % 4294967296 AS bigint) AS seq0,
   CASE WHEN l_tax >= 0.08 THEN '' ELSE substr(repeat(concat(md5(cast(CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_orderkey END AS varchar(20))), chr(10)), 9),
       (l_linenumber - 1) * 25 + 1, cast(l_quantity AS int)) END AS payload
-FROM lineitem
+FROM lineitem) AS base
 """
 
 VIEWS["v_dialogue"] = """

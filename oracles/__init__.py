@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["rules", "baseline"]
+PARTS = ["rules", "baseline", "flows"]
 
 
 def all_sql() -> dict[str, str]:
