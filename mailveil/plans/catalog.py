@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil import dims
-from mailveil.operators import baseline, certificates, flows, rules, scoring
+from mailveil.functions import text as tx
+from mailveil.operators import baseline, certificates, dialogue, flows, packets, rules, scoring
+from mailveil.operators.ordered import number_rows
 from mailveil.plans import views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
 from mailveil.sources import history
@@ -299,3 +301,131 @@ def unclassified_flows(spark, d):
 def flow_totals(spark, d):
     s = Streams(spark, d, staged=True, chunk_bytes=CHUNK)
     return flows.flow_totals(s.flows, s.mail_flows)
+
+
+# --------------------------------------------------------------------------- packets
+@query
+def packet_list(spark, d):
+    return Streams(spark, d, staged=True, chunk_bytes=CHUNK).packets.select(
+        "capture_id", "position", "frame", "src", "sport", "dst", "dport", "proto", "service", "flags", "len", "session_id",
+        "info", "truncated")
+
+
+@query
+def packet_filter_counts(spark, d):
+    return packets.packet_filters(Streams(spark, d, staged=True, chunk_bytes=CHUNK).packets)
+
+
+@query
+def packet_times(spark, d):
+    convs = Streams(spark, d).segments.where(F.col("ts") % 172800 == 0)
+    near = Streams(spark, d).segments.where(F.col("ts") % 172800 != 0).select(
+        F.concat("capture_id", F.lit("/"), F.floor(F.col("ts") / 864000)).alias("capture_id"), "frame",
+        (F.floor(F.col("ts") / 864000) * 864000 + F.pmod(F.col("frame"), F.lit(40000)) / 2).alias("ts"))
+    both = convs.select("capture_id", "frame", F.col("ts").cast("double").alias("ts")).unionByName(near)
+    return packets.with_times(both).select("capture_id", "frame", "time_text")
+
+
+# --------------------------------------------------------------------------- dialogue
+def _document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document, read as chunked streams."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), "text")
+    return dialogue.stream_lines(dialogue.cut_text(docs, ["stream_id"], 4096), ["stream_id"])
+
+
+@query
+def dialogue_lines(spark, d):
+    return _document_lines(spark, d).select(
+        "stream_id", "line_no", F.col("off").cast("bigint").alias("off"), F.md5("line").alias("line_hash"), "complete")
+
+
+@query
+def dialogue_reply_groups(spark, d):
+    code = (200 + 50 * (F.col("line_no") % 3)).cast("string")
+    wire = _document_lines(spark, d).withColumn("line", F.concat(
+        code, F.when(F.col("line_no") % 4 != 3, "-").otherwise(" "), "line"))
+    return dialogue.smtp_replies(wire, ["stream_id"]).select(
+        "stream_id", "reply_no", "code", "lines", F.md5("reply").alias("reply_hash"), F.col("off").cast("bigint").alias("off"))
+
+
+@query
+def dialogue_turn_pairs(spark, d):
+    rows = views.view(spark, d, "v_dialogue").withColumn("_part", F.floor(F.col("ordinal") / 1024))
+    sides = {s: number_rows(rows.where(F.col("dir") == s), ["session_id"], ["ordinal", "text"], "_part", "turn").select(
+        "session_id", "turn", F.md5("text").alias(name)) for s, name in (("C", "command"), ("S", "reply"))}
+    return dialogue.pair_turns(sides["C"], sides["S"], ["session_id"])
+
+
+@query
+def dialogue_transcript(spark, d):
+    kinds = F.array(*[F.lit(k) for k in ("cmd", "reply", "auth", "banner", "caps")])
+    events = _document_lines(spark, d).select(
+        "stream_id", F.col("line_no").alias("ordinal"), F.when(F.col("line_no") % 2 == 0, "C").otherwise("S").alias("dir"),
+        F.element_at(kinds, (F.col("line_no") % 5 + 1).cast("int")).alias("kind"),
+        F.when(F.col("line_no") % 10 == 2, F.concat(F.lit("AUTH PLAIN "), "line")).otherwise(F.col("line")).alias("text"))
+    return dialogue.transcript(events, ["stream_id"])
+
+
+@query
+def redacted_lines(spark, d):
+    verbs = F.array(*[F.lit(v) for v in ("PASS ", "AUTH PLAIN ", "a1 LOGIN ", "auth scram-sha-256 ", "EHLO ", "  user ", "x.9 authenticate login ", "")])
+    lines = _document_lines(spark, d)
+    text_col = F.concat(F.element_at(verbs, (F.col("line_no") % 8 + 1).cast("int")), "line")
+    blob = F.when(F.col("line_no") % 16 == 15, F.base64(F.encode(F.md5("line"), "UTF-8"))).otherwise(text_col)
+    return lines.select("stream_id", "line_no", F.md5(tx.safe_line(blob)).alias("shown_hash"))
+
+
+@query
+def protocol_identification(spark, d):
+    h = views.view(spark, d, "v_heads")
+    found = tx.identify(F.col("client_head"), F.col("server_head"), F.col("server_port"))
+    return h.select("session_id", found.alias("f"), tx.hostname_from(F.regexp_replace("server_head", r"^(220[ -]|\* OK |\+OK )", "")).alias("server_name")).select(
+        "session_id", "f.protocol", "f.mode", "f.identified_by", "server_name")
+
+
+@query
+def mangled_capabilities(spark, d):
+    h = views.view(spark, d, "v_heads")
+    protocol = F.when(F.col("session_id") % 3 == 0, "SMTP").when(F.col("session_id") % 3 == 1, "IMAP").otherwise("POP3")
+    caps = dialogue.capabilities(F.array(F.concat("token", F.lit(" x")), F.lit("size 100")))
+    return h.select("session_id", protocol.alias("protocol"), caps.alias("caps")).select(
+        "session_id", F.array_join("caps", " ").alias("caps"), dialogue.upgrade_offered(F.col("caps"), F.col("protocol")).alias("offered"),
+        F.array_join(dialogue.mangled_indicators(F.col("caps"), F.col("protocol")), " | ").alias("indicators"))
+
+
+@query
+def sasl_events(spark, d):
+    h = views.view(spark, d, "v_heads")
+    event = tx.sasl_event(F.col("mechanism"), F.split("responses", " "), F.col("session_id") % 2 == 0)
+    return h.select("session_id", event.alias("e")).select("session_id", "e.mechanism", "e.username", "e.secret_exposed", "e.accepted")
+
+
+@query
+def upgrade_refusals(spark, d):
+    h = views.view(spark, d, "v_sessions")
+    answers = F.array(*[F.lit(a) for a in ("2.0.0 ready", "a1 OK begin", "+OK begin", "4.7.0 not now", "a1 NO refused", "-ERR off")])
+    answer = F.when(F.col("session_id") % 7 != 6, F.element_at(answers, (F.col("session_id") % 6 + 1).cast("int")))
+    code = F.when(F.col("session_id") % 6 == 0, 220).otherwise(454)
+    return h.select("session_id", dialogue.refusal_indicator(F.col("protocol"), F.col("starttls_requested"), code, answer).alias("indicator"))
+
+
+@query
+def upgrade_points(spark, d):
+    s = Streams(spark, d, staged=True, chunk_bytes=CHUNK)
+    start = s.spans.groupBy(*flows.STREAM).agg(F.min("span_len").alias("start_off"))
+    found = dialogue.tls_offsets(s.text_chunks, flows.STREAM, start).join(start, flows.STREAM)
+    gap = found.select(*flows.STREAM, F.col("start_off").alias("lo"), F.col("tls_off").alias("hi"), F.lit("x").alias("ident"), "tls_off")
+    read = packets.read_ranges(s.text_chunks, gap.where("hi > lo"), flows.STREAM, "ident", CHUNK)
+    text_of = F.coalesce("context", F.lit(""))
+    told = F.when(F.col("dir") == "C", dialogue.injection_indicator("client", F.lit("STARTTLS"), text_of)).otherwise(
+        dialogue.injection_indicator("server", F.lit("STARTTLS"), text_of))
+    return gap.join(read, [*flows.STREAM, "ident"], "left").select(
+        "capture_id", *_pair(), "dir", "tls_off", F.md5(told).alias("injection_hash"))
+
+
+@query
+def session_classes(spark, d):
+    a = Analysis(spark, d, staged=True)
+    label = dialogue.classify()
+    return (a.facts.join(baseline.deviation_codes(a.deviations), ["capture_id", "session_id"], "left")
+            .select("capture_id", "session_id", label.alias("label"), dialogue.class_kind(label).alias("kind")))

@@ -12,7 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailveil.operators import baseline, certificates, features, flows, rules, scoring
+from mailveil import dims
+from mailveil.operators import baseline, certificates, dialogue, features, flows, packets, rules, scoring
 from mailveil.plans import views
 from mailveil.session import cut_lineage
 
@@ -173,3 +174,23 @@ class Streams:
     @cached_property
     def numbered(self) -> DataFrame:
         return flows.number_sessions(self.mail_flows)
+
+    @cached_property
+    def text_chunks(self) -> DataFrame:
+        return self._stage(dialogue.as_text(self.streams))
+
+    @cached_property
+    def mail_sessions(self) -> DataFrame:
+        """Numbered mail flows with the protocol and each direction's TLS offset."""
+        protocol = dims.lookup({25: "SMTP", 110: "POP3", 143: "IMAP"}, F.col("server.port"))
+        offsets = dialogue.tls_offsets(self.text_chunks, flows.STREAM).groupBy(*flows.FLOW).agg(
+            F.max(F.when(F.col("dir") == "C", F.col("tls_off"))).alias("tls_client_off"),
+            F.max(F.when(F.col("dir") == "S", F.col("tls_off"))).alias("tls_server_off"))
+        return (self.numbered.select(*flows.FLOW, "session_id", protocol.alias("protocol"), "client", "server")
+                .join(offsets, flows.FLOW, "left"))
+
+    @cached_property
+    def packets(self) -> DataFrame:
+        part = F.floor(F.col("frame") / 4_000_000_000_000).cast("bigint")   # frame numbers are sparse here
+        return packets.packet_rows(self.conversations, self.mail_sessions, self.spans, self.text_chunks,
+                                   self.chunk_bytes, frame_part=part)

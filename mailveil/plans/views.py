@@ -3,7 +3,7 @@
 The star schema holds no packets, so each domain table is a row-local SELECT over
 one base table (no join, no shuffle, no global ordering), written in the SQL that
 Spark and DuckDB share. ``$SEC(x)`` (epoch seconds) and ``$SERIES(n)`` (one row per
-0..n) mark the two expressions they spell apart.
+0..n) and ``$B64(x)`` (base64 of a text) mark the expressions they spell apart.
 """
 
 from __future__ import annotations
@@ -158,7 +158,8 @@ SELECT capture_id, frame, ts, flags, payload,
   CASE WHEN flags IN (2, 18) THEN 4294967289 ELSE seq0 END AS seq, from_client,
   CASE WHEN from_client THEN client_ip ELSE server_ip END AS src, CASE WHEN from_client THEN client_port ELSE server_port END AS sport,
   CASE WHEN from_client THEN server_ip ELSE client_ip END AS dst, CASE WHEN from_client THEN server_port ELSE client_port END AS dport
-FROM (SELECT concat('cap', l_orderkey % 20) AS capture_id,
+FROM (SELECT *, CASE WHEN flags NOT IN (2, 18) AND tagged THEN concat(chr(22), chr(3), chr(3), 'ab', chr(cast(1 + frame % 3 AS int)), substr(payload0, 7)) ELSE payload0 END AS payload
+ FROM (SELECT concat('cap', l_orderkey % 20) AS capture_id, (l_partkey % 7 = 0 AND l_quantity >= 6 AND l_tax < 0.08) AS tagged,
   (((l_orderkey * 8 + l_linenumber) * 51 + cast(l_quantity AS bigint)) * 100003 + l_partkey) * 1009 + l_suppkey % 1009 AS frame,
   $SEC(l_shipdate) AS ts, concat('10.20.0.', l_orderkey % 200) AS client_ip, 40000 + l_orderkey % 3000 AS client_port,
   concat('203.0.113.', l_orderkey % 50) AS server_ip,
@@ -168,16 +169,29 @@ FROM (SELECT concat('cap', l_orderkey % 20) AS capture_id,
        WHEN l_linenumber = 7 THEN 17 WHEN l_partkey % 31 = 0 THEN 20 ELSE 24 END AS flags,
   cast((4294967290 + (l_linenumber - 1) * 25) % 4294967296 AS bigint) AS seq0,
   CASE WHEN l_tax >= 0.08 THEN '' ELSE substr(repeat(concat(md5(cast(CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_orderkey END AS varchar(20))), chr(10)), 9),
-      (l_linenumber - 1) * 25 + 1, cast(l_quantity AS int)) END AS payload
-FROM lineitem) AS base
+      (l_linenumber - 1) * 25 + 1, cast(l_quantity AS int)) END AS payload0
+FROM lineitem) AS plain) AS base
 """
 
 VIEWS["v_dialogue"] = """
 SELECT conv_id AS session_id, turn AS ordinal, CASE WHEN role = 'user' THEN 'C' ELSE 'S' END AS dir, text FROM conversations
 """
 
-VIEWS["v_lines"] = """
-SELECT concat('d', doc_id) AS stream_id, text FROM documents
+VIEWS["v_heads"] = """
+SELECT o_orderkey AS session_id, CASE o_orderkey % 5 WHEN 0 THEN 465 WHEN 1 THEN 993 WHEN 2 THEN 995 WHEN 3 THEN 25 ELSE 4433 END AS server_port,
+  CASE o_custkey % 11 WHEN 0 THEN concat('220 mx', o_custkey % 7, '.example.org ESMTP', chr(13), chr(10)) WHEN 1 THEN concat('* OK [mx.example.net] ready', chr(13), chr(10))
+    WHEN 2 THEN concat('+OK <1896.697@Host.Example.COM.>', chr(13), chr(10)) WHEN 3 THEN concat('250', chr(13), chr(10)) WHEN 4 THEN concat(chr(22), chr(3), chr(1), 'x')
+    WHEN 5 THEN '554-no' WHEN 6 THEN '-ERR busy' WHEN 7 THEN 'hello' ELSE '' END AS server_head,
+  CASE o_orderkey % 9 WHEN 0 THEN concat('EHLO a', chr(13), chr(10), 'MAIL  FROM:<x>', chr(13), chr(10)) WHEN 1 THEN concat('a1 login u p', chr(13), chr(10), 'a2 SELECT INBOX', chr(13), chr(10))
+    WHEN 2 THEN concat('USER a', chr(13), chr(10), 'PASS b', chr(13), chr(10)) WHEN 3 THEN concat('LIST', chr(13), chr(10), 'LIST 2', chr(13), chr(10)) WHEN 4 THEN concat('noop', chr(13), chr(10), 'QUIT', chr(13), chr(10))
+    WHEN 5 THEN concat(chr(22), chr(3), chr(1), 'y') WHEN 6 THEN 'GET / HTTP/1.1' ELSE '' END AS client_head,
+  CASE o_orderkey % 13 WHEN 0 THEN 'XXXXXXXX' WHEN 1 THEN 'STARTTLS' WHEN 2 THEN 'STARTTLX' WHEN 3 THEN 'starttls' WHEN 4 THEN 'STARXXXS' WHEN 5 THEN 'AAAAAAAA' WHEN 6 THEN 'PIPELINE'
+    WHEN 7 THEN 'STLS' WHEN 8 THEN 'XXXX' WHEN 9 THEN 'STLX' WHEN 10 THEN 'UIDL' WHEN 11 THEN 'STAXXTLS' ELSE 'SIZE' END AS token,
+  CASE o_orderkey % 8 WHEN 0 THEN 'plain' WHEN 1 THEN 'LOGIN' WHEN 2 THEN 'CRAM-MD5' WHEN 3 THEN 'XOAUTH2' WHEN 4 THEN 'SCRAM-SHA-256' WHEN 5 THEN 'PLAIN' WHEN 6 THEN 'LOGIN' ELSE 'EXTERNAL' END AS mechanism,
+  CASE o_orderkey % 8 WHEN 0 THEN $B64(concat('', chr(0), 'u', o_custkey, chr(0), 'secret')) WHEN 1 THEN concat($B64(concat('user', o_custkey)), ' ', $B64('pw'))
+    WHEN 2 THEN $B64(concat('u', o_custkey, ' 0123abcd')) WHEN 3 THEN $B64(concat('user=u', o_custkey, chr(1), 'auth=Bearer t', chr(1), chr(1)))
+    WHEN 4 THEN $B64(concat('n,,n=u', o_custkey, ',r=abc')) WHEN 5 THEN 'not base64!' WHEN 6 THEN $B64(concat('user', o_custkey)) ELSE '=' END AS responses
+FROM orders
 """
 
 VIEWS["v_expected"] = """
@@ -215,6 +229,8 @@ def _render(text: str, dialect: str) -> str:
             else r"cast(floor(epoch(\1)) AS bigint)")
     text = re.sub(r"\$SEC\((\w+)\)", form, text)
     series = r"explode(sequence(0, \1))" if dialect == "spark" else r"unnest(generate_series(0, \1))"
+    depth3 = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+    text = re.sub(r"\$B64(" + depth3 + ")", r"base64\1" if dialect == "spark" else r"to_base64(encode\1)", text)
     return re.sub(r"\$SERIES\(([^)]*)\)", series, text)
 
 
