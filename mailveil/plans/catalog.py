@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from mailveil import dims
 from mailveil.functions import text as tx
-from mailveil.operators import baseline, certificates, dialogue, flows, packets, rules, scoring
+from mailveil.operators import baseline, certificates, dialogue, flows, handshake, packets, rules, scoring
 from mailveil.operators.ordered import number_rows
 from mailveil.plans import views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
-from mailveil.sources import history
+from mailveil.session import cut_lineage
+from mailveil.sources import captures, frames, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,3 +430,70 @@ def session_classes(spark, d):
     label = dialogue.classify()
     return (a.facts.join(baseline.deviation_codes(a.deviations), ["capture_id", "session_id"], "left")
             .select("capture_id", "session_id", label.alias("label"), dialogue.class_kind(label).alias("kind")))
+
+
+# --------------------------------------------------------------------------- captures and frames
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(views.view(spark, d, "v_frames")).select(
+        "capture_id", "frame", (F.col("ts") * 1_000_000_000).alias("ts_ns"), F.col("linktype").cast("int").alias("linktype"),
+        F.unhex("data_hex").alias("data"))
+
+
+def _capture_files(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(views.view(spark, d, "v_captures").select("capture_id", F.unhex("content_hex").alias("content")))
+
+
+@query
+def capture_container_status(spark, d):
+    return captures.capture_status(_capture_files(spark, d))
+
+
+@query
+def capture_frames(spark, d):
+    return captures.frames(_capture_files(spark, d)).select(
+        "capture_id", "frame", "ts_ns", "linktype", F.md5(F.hex("data")).alias("data_hash"), "note")
+
+
+@query
+def decoded_segments(spark, d):
+    return frames.segments(frames.decode(_frames(spark, d))).select(
+        "capture_id", "frame", "src", "dst", "sport", "dport", "seq", "flags", F.hex("payload").alias("payload_hex"))
+
+
+@query
+def capture_read_stats(spark, d):
+    rows = frames.read_stats(frames.decode(_frames(spark, d)))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("link_types", "unsupported_link_types")})
+
+
+# --------------------------------------------------------------------------- TLS bytes
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    wire = cut_lineage(views.view(spark, d, "v_wire").select(
+        F.concat_ws("/", "capture_id", "session_id").alias("key"), F.unhex("client_hex").alias("C"), F.unhex("server_hex").alias("S")))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("dir"), F.col(s).alias("data")) for s in "CS"]))
+    return cut_lineage(handshake.handshake_messages(wire.select("key", sides.alias("s")).select("key", "s.*")))
+
+
+@query
+def handshake_facts(spark, d):
+    rows = handshake.handshakes(_messages(spark, d))
+    alerts = F.transform("alerts", lambda a: F.concat_ws(":", a["level"], a["description"]))
+    return rows.withColumn("alerts", F.array_join(alerts, ",")).withColumns(
+        {c: F.array_join(F.coalesce(c, F.array().cast("array<bigint>")), ",") for c in ("client_ciphers", "supported_groups", "client_supported_versions", "server_extensions")})
+
+
+@query
+def handshake_message_order(spark, d):
+    return handshake.record_flow(_messages(spark, d)).withColumn("flow", F.array_join("flow", " > "))
+
+
+@query
+def handshake_labels(spark, d):
+    h = views.view(spark, d, "v_handshakes")
+    group = F.col("selected_group").cast("bigint")
+    issue = F.when(F.col("version").isin(512, 768), "critical").when(F.col("version").isin(769, 770), "high")
+    return h.select("capture_id", "session_id", dims.version_name(F.col("version")).alias("version_name"),
+                    dims.version_ordinal(F.col("version")).cast("bigint").alias("ordinal"), issue.alias("issue"),
+                    dims.suite_name(F.col("cipher_suite")).alias("cipher_name"), dims.group_name(group).alias("group_name"),
+                    dims.lookup(dims.GROUP_BITS, group).cast("bigint").alias("group_bits"), group.isin(*dims.WEAK_GROUPS).alias("weak_group"),
+                    dims.alert_name(F.split_part("alerts_text", F.lit(":"), F.lit(2)).try_cast("bigint")).alias("alert"))

@@ -206,6 +206,79 @@ SELECT doc_id AS session_id, CASE WHEN n_chars % 5 = 0 THEN 'CRED-001' WHEN n_ch
 """
 
 
+def _hex(expr: str, digits: int) -> str:
+    """Big-endian hex text of a number; the same words in both dialects."""
+    return f"lpad(hex(cast({expr} AS bigint)), {digits}, '0')"
+
+
+def _little(expr: str, digits: int) -> str:
+    big = _hex(expr, digits)
+    return "concat(" + ", ".join(f"substr({big}, {i}, 2)" for i in range(digits - 1, 0, -2)) + ")"
+
+
+def _ip_hex(col: str) -> str:
+    return "concat(" + ", ".join(_hex(f"split_part({col}, '.', {i})", 2) for i in range(1, 5)) + ")"
+
+
+_TCP = (f"concat({_hex('sport', 4)}, {_hex('dport', 4)}, {_hex('seq', 8)}, '00000000', '5', {_hex('flags', 3)}, 'FFFF00000000', hex(payload))")
+
+VIEWS["v_frames"] = f"""
+SELECT capture_id, frame, ts, src, dst, sport, dport, seq, flags, payload, shape, fault, linktype,
+  CASE WHEN fault = 4 THEN concat('FFFF', ip_hex) WHEN fault = 2 AND shape < 4 THEN concat('020000000001020000000002', '0806', ip_hex)
+    WHEN shape < 4 THEN concat('020000000001020000000002', '0800', ip_hex) WHEN shape = 4 THEN concat('020000000001020000000002', '8100002A', '0800', ip_hex)
+    WHEN shape = 5 THEN concat('0000000100060200000000010000', '0800', ip_hex) WHEN shape = 6 THEN ip_hex
+    WHEN shape = 7 THEN concat('020000000001020000000002', '86DD', ip_hex) WHEN shape = 8 THEN concat('0800000000000001000100060200000000010000', ip_hex)
+    ELSE concat('02000000', ip_hex) END AS data_hex
+FROM (SELECT *, CASE WHEN fault = 4 THEN 147 WHEN shape IN (0, 1, 2, 3, 4, 7) THEN 1 WHEN shape = 5 THEN 113 WHEN shape = 6 THEN 101 WHEN shape = 8 THEN 276 ELSE 0 END AS linktype,
+    CASE WHEN shape = 7 THEN concat('60000000', {_hex('length(tcp_hex) / 2 + 8', 4)}, '0040', '20010DB80000000000000000', {_ip_hex('src')}, '20010DB80000000000000000', {_ip_hex('dst')},
+        CASE WHEN fault = 1 THEN '2C' WHEN fault = 0 THEN '11' ELSE '06' END, '00000000000000', tcp_hex)
+      ELSE concat('4500', {_hex('length(tcp_hex) / 2 + 20', 4)}, '0000', CASE WHEN fault = 1 THEN '2000' ELSE '0000' END, '40', CASE WHEN fault = 0 THEN '11' ELSE '06' END, '0000',
+        {_ip_hex('src')}, {_ip_hex('dst')}, tcp_hex) END AS ip_hex
+  FROM (SELECT *, CASE WHEN fault = 3 THEN substr(full_hex, 1, 20) ELSE full_hex END AS tcp_hex
+    FROM (SELECT *, frame % 10 AS shape, frame % 37 AS fault, {_TCP} AS full_hex FROM v_segments) AS whole) AS cut) AS wrapped
+"""
+
+_SHB = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000"
+_PAD = "repeat('00', cast((4 - size % 4) % 4 AS int))"
+VIEWS["v_captures"] = f"""
+SELECT concat('file', frame) AS capture_id, ts, frame AS source_frame, linktype, form, data_hex, size,
+  CASE form WHEN 0 THEN concat('D4C3B2A1020004000000000000000000FFFF0000', {_little('linktype', 8)}, {_little('ts', 8)}, {_little('7', 8)}, {_little('size', 8)}, {_little('size', 8)}, data_hex, 'AABB')
+    WHEN 1 THEN concat('A1B2C3D400020004000000000000000000000FFF', {_hex('linktype', 8)}, {_hex('ts', 8)}, {_hex('7', 8)}, {_hex('size', 8)}, {_hex('size', 8)}, data_hex,
+      {_hex('ts + 1', 8)}, {_hex('0', 8)}, {_hex('size', 8)}, {_hex('size', 8)}, data_hex)
+    WHEN 2 THEN concat('4D3CB2A1020004000000000000000000FFFF0000', {_little('linktype', 8)}, {_little('ts', 8)}, {_little('7000', 8)}, {_little('size', 8)}, {_little('size', 8)}, data_hex)
+    WHEN 3 THEN concat('{_SHB}', '0100000020000000', {_little('linktype', 4)}, '0000FFFF0000', '090001000900000000000000', '20000000',
+      '06000000', {_little('32 + size + (4 - size % 4) % 4', 8)}, '00000000', {_little('floor((ts * 1000000000 + 7000) / 4294967296)', 8)}, {_little('(ts * 1000000000 + 7000) % 4294967296', 8)},
+      {_little('size', 8)}, {_little('size', 8)}, data_hex, {_PAD}, {_little('32 + size + (4 - size % 4) % 4', 8)})
+    WHEN 4 THEN '504B0304AABBCCDD' WHEN 5 THEN '' ELSE '255044462D312E34' END AS content_hex
+FROM (SELECT *, CASE WHEN frame % 101 < 3 THEN 4 + frame % 101 ELSE frame % 4 END AS form, length(data_hex) / 2 AS size FROM v_frames) AS sized
+"""
+
+
+def _sized(text: str, digits: int = 4) -> str:
+    """Length-prefixed hex block."""
+    return f"concat({_hex(f'length({text}) / 2', digits)}, {text})"
+
+
+VIEWS["v_wire"] = f"""
+SELECT *, CASE WHEN ch = '' THEN '' ELSE concat('160301', {_sized("concat('01', " + _sized('ch', 6) + ")")}, alert_c, CASE WHEN server_hello_seen THEN '1403030001011703030004DEADBEEF1703030002BEEF' ELSE '' END) END AS client_hex,
+  concat(CASE WHEN sh = '' THEN '' ELSE concat('160303', {_sized("concat('02', " + _sized('sh', 6) + ", CASE WHEN ske = '' THEN '' ELSE concat('0C', " + _sized('ske', 6) + ") END)")}) END, alert_s,
+    CASE WHEN server_hello_seen THEN '1403030001011703030004DEADBEEF' ELSE '' END) AS server_hex
+FROM (SELECT *, CASE WHEN client_hello_seen THEN concat('0303', random_a, '00', {_sized('ciphers')}, '0100', {_sized('cexts')}) ELSE '' END AS ch,
+    CASE WHEN server_hello_seen THEN concat({_hex('server_legacy_version', 4)}, random_b, '00', {_hex('cipher_suite', 4)}, {_hex('compression', 2)}, {_sized('sexts')}) ELSE '' END AS sh,
+    CASE WHEN alerts_text = '2:40' THEN '15030300020228' WHEN alerts_text = '2:86' THEN '15030300020256' ELSE '' END AS alert_s,
+    CASE WHEN alerts_text = '1:0' THEN '15030300020100' ELSE '' END AS alert_c
+  FROM (SELECT *, upper(concat(md5(cast(session_id AS varchar(20))), md5(concat('x', session_id)))) AS random_a,
+      concat(upper(substr(concat(md5(concat('y', session_id)), md5(concat('z', session_id))), 1, 48)), CASE WHEN downgrade_sentinel IS NOT NULL THEN '444F574E47524401' ELSE '00112233445566AA' END) AS random_b,
+      concat('0A0A', CASE WHEN session_id % 3 = 2 THEN 'C02FC030000500030034' || '0002C013002F000A' ELSE '130113021303C02FC030C013002F000A009EC02B' END, CASE WHEN fallback_scsv THEN '5600' ELSE '' END, '00FF') AS ciphers,
+      concat(CASE WHEN sni IS NULL THEN '' ELSE concat('0000', {_hex('length(sni) + 5', 4)}, {_hex('length(sni) + 3', 4)}, '00', {_hex('length(sni)', 4)}, hex(sni)) END,
+        '000A000A00081A1A001D00170018', '000B00020100', CASE WHEN session_id % 3 <> 2 THEN '002B0007062A2A03040303' ELSE '' END) AS cexts,
+      CASE WHEN version = 772 THEN concat('002B00020304', '00330024001D0020', upper(md5('k')), upper(md5('l'))) ELSE concat(CASE WHEN secure_renegotiation THEN 'FF01000100' ELSE '' END, CASE WHEN extended_master_secret THEN '00170000' ELSE '' END) END AS sexts,
+      CASE WHEN dh_bits IS NOT NULL THEN concat({_hex('dh_bits / 8', 4)}, '80', repeat('00', cast(dh_bits / 8 - 1 AS int)), '000102000103')
+        WHEN ecdhe_curve IS NOT NULL AND version <> 772 AND cipher_suite IN (49171, 49195, 49199, 49200) THEN '030013' ELSE '' END AS ske
+    FROM v_handshakes) AS parts) AS built
+"""
+
+
 def _requires(text: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", text)]
 
