@@ -11,10 +11,10 @@ from mailveil import dims
 from mailveil.functions import text as tx
 from mailveil.operators import baseline, certificates, dialogue, flows, handshake, packets, rules, scoring
 from mailveil.operators.ordered import number_rows
-from mailveil.plans import views
+from mailveil.plans import reports, views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
 from mailveil.session import cut_lineage
-from mailveil.sources import captures, frames, history
+from mailveil.sources import captures, frames, history, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -497,3 +497,184 @@ def handshake_labels(spark, d):
                     dims.suite_name(F.col("cipher_suite")).alias("cipher_name"), dims.group_name(group).alias("group_name"),
                     dims.lookup(dims.GROUP_BITS, group).cast("bigint").alias("group_bits"), group.isin(*dims.WEAK_GROUPS).alias("weak_group"),
                     dims.alert_name(F.split_part("alerts_text", F.lit(":"), F.lit(2)).try_cast("bigint")).alias("alert"))
+
+
+# --------------------------------------------------------------------------- certificates
+@query
+def certificate_names(spark, d):
+    h = views.view(spark, d, "v_sessions")
+    hosts = F.array(*[F.lit(x) for x in ("mx.a.com", "x.y.a.com", "a.com", "MX.A.COM.", "10.0.0.1", "other.org")])
+    pattern = F.array(*[F.lit(x) for x in ("*.a.com", "mx.a.com", "*.com", "m*.a.com", "10.0.0.1", "", "*.y.a.com")])
+    sans = F.filter(F.array(F.element_at(pattern, (F.floor(F.col("session_id") / 6) % 7 + 1).cast("int"))), lambda s: s != "")
+    host = F.element_at(hosts, (F.col("session_id") % 6 + 1).cast("int"))
+    subject = F.concat(F.lit("O=Acme\\, Inc,CN="), F.element_at(hosts, (F.floor(F.col("session_id") / 42) % 6 + 1).cast("int")))
+    return h.select("capture_id", "session_id", certificates.cn_of(subject).alias("cn"),
+                    certificates.hostname_matches(host, sans, subject).alias("matches"))
+
+
+@query
+def certificate_path_failures(spark, d):
+    raw = F.array(*[F.lit(x) for x in ("cert is not valid at validation time", "candidates exhausted: all candidates", "Unsupported curve",
+                                       "basic constraints violated", "odd (encountered processing <Certificate>)", "EXPIRED subject name")])
+    s = views.view(spark, d, "v_sessions")
+    text_of = certificates.explain_failure(F.element_at(raw, (F.col("session_id") % 6 + 1).cast("int")), F.col("session_id") % 3 + 1, F.lit("CN=X"))
+    return s.select("capture_id", "session_id", text_of.alias("detail"))
+
+
+@query
+def certificate_inventory(spark, d):
+    a = Analysis(spark, d)
+    return certificates.cert_inventory(a.chains, a.sessions).select(
+        "sha256", "role", F.col("cert.subject").alias("subject"), "endpoints", "sessions")
+
+
+@query
+def certificate_unobservable(spark, d):
+    a = Analysis(spark, d)
+    return a.chains.where("NOT present").groupBy("capture_id", "absent_kind", "reason_absent").agg(F.count("*").alias("sessions"))
+
+
+def _checks(spark, d):
+    a = Analysis(spark, d)
+    return certificates.cert_checks(a.chains, a.sessions, F.lit(AS_OF))
+
+
+@query
+def certificate_checks(spark, d):
+    return _checks(spark, d).select("sha256", "check", "state")
+
+
+@query
+def certificate_verdicts(spark, d):
+    return certificates.cert_verdict(_checks(spark, d)).select("sha256", "failed", "severity", "label")
+
+
+@query
+def certificate_counts(spark, d):
+    return certificates.verdict_counts(certificates.cert_verdict(_checks(spark, d)))
+
+
+# --------------------------------------------------------------------------- reports
+@query
+def report_finding_groups(spark, d):
+    return reports.finding_groups(Analysis(spark, d, staged=True).ranked).drop("title")
+
+
+@query
+def report_top_groups(spark, d):
+    return reports.top_groups(reports.finding_groups(Analysis(spark, d, staged=True).ranked)).select(
+        "capture_id", "place", "rule_id", "endpoint", "severity", "priority", "findings")
+
+
+@query
+def report_terminal_top(spark, d):
+    return reports.terminal_top(Analysis(spark, d, staged=True).ranked).select(
+        "capture_id", "place", "rule_id", "endpoint", "severity", "risk", "times")
+
+
+@query
+def report_endpoints(spark, d):
+    a = Analysis(spark, d, staged=True)
+    scores = scoring.endpoint_scores(a.sessions, a.all_findings)
+    issues = scoring.unique_issues(scoring.merge_rule_ids(a.all_findings))
+    return reports.endpoint_table(a.facts, scores, issues).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query
+def report_sessions(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.session_table(a.facts, a.all_findings, scoring.session_rule_risk(a.sessions, a.all_findings))
+
+
+@query
+def report_kpis(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.kpis(a.facts, scoring.unique_issues(scoring.merge_rule_ids(a.all_findings)))
+
+
+@query
+def report_severity_shares(spark, d):
+    return reports.severity_shares(Analysis(spark, d).findings)
+
+
+@query
+def report_channels(spark, d):
+    return reports.channels(Analysis(spark, d).sessions)
+
+
+@query
+def report_protocols(spark, d):
+    return reports.protocols(Analysis(spark, d).sessions)
+
+
+@query
+def report_versions(spark, d):
+    return reports.versions(Analysis(spark, d).facts)
+
+
+@query
+def report_finding_search(spark, d):
+    rows = reports.search_findings(Analysis(spark, d).findings, ["critical", "high"], "STARTTLS")
+    return rows.select("capture_id", "session_id", "rule_id", "severity")
+
+
+@query
+def report_session_detail(spark, d):
+    a = Analysis(spark, d)
+    return reports.session_detail(a.facts, a.findings, "cap2", 8).select(
+        "capture_id", "session_id", "endpoint", "protocol", "mode", "version_name", "cipher_name", text("rules", " "))
+
+
+@query
+def report_capture_meta(spark, d):
+    a = Analysis(spark, d)
+    return reports.capture_meta(a.sessions, a.captures)
+
+
+@query
+def report_corpus_rollup(spark, d):
+    return reports.corpus_rollup(Analysis(spark, d, staged=True).posture)
+
+
+@query
+def report_verdicts(spark, d):
+    a = Analysis(spark, d, staged=True)
+    label = dialogue.classify()
+    classes = a.facts.join(baseline.deviation_codes(a.deviations), ["capture_id", "session_id"], "left").select(
+        "capture_id", dialogue.class_kind(label).alias("kind"))
+    return reports.verdicts(a.posture, classes)
+
+
+@query
+def report_caveats(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.caveats(a.posture, a.sessions)
+
+
+@query
+def report_timeline(spark, d):
+    return reports.timeline(Analysis(spark, d).facts).withColumn("step", F.col("step").cast("bigint"))
+
+
+@query
+def report_timeline_findings(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.attach_findings(reports.timeline(a.facts), a.findings).withColumn("step", F.col("step").cast("bigint"))
+
+
+@query
+def report_section_counts(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.section_counts(a.facts, a.findings, a.certificates)
+
+
+@query
+def session_export(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return reports.flat_sessions(a.facts, a.features, a.all_findings, scoring.session_rule_risk(a.sessions, a.all_findings))
+
+
+@query
+def report_json_rows(spark, d):
+    return sinks.as_json(Analysis(spark, d).sessions.select("capture_id", "session_id", "protocol", "mode", "starttls_offered", "capabilities"),
+                         ["capture_id", "session_id"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict = {}
 
 
 def build_session(app: str = "mailveil", master: str | None = None,
@@ -28,18 +30,29 @@ def build_session(app: str = "mailveil", master: str | None = None,
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder stages are written to: the one the cluster names in its settings.
 
     A local folder is made only when the session names none and runs in local mode.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="mailveil-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = (spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+              or context.getCheckpointDir())
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+    if context not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context] = tempfile.mkdtemp(prefix="mailveil-stage-")
+    return _LOCAL_FOLDERS[context]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a stage as a table in the shared folder and read it back.
+
+    Later steps read only the columns they need, and a lost executor restarts from the
+    table instead of the scan below it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls"]
+PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls", "reports"]
 
 
 def all_sql() -> dict[str, str]:
