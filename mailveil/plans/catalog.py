@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailveil import dims
 from mailveil.functions import text as tx
-from mailveil.operators import baseline, certificates, dialogue, flows, handshake, packets, rules, scoring
+from mailveil.operators import baseline, certificates, dialogue, flows, handshake, models, packets, rules, scoring
 from mailveil.operators.ordered import number_rows
 from mailveil.plans import reports, views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
@@ -621,7 +621,7 @@ def report_finding_search(spark, d):
 @query
 def report_session_detail(spark, d):
     a = Analysis(spark, d)
-    return reports.session_detail(a.facts, a.findings, "cap2", 8).select(
+    return reports.session_detail(a.facts, a.findings, 8).select(
         "capture_id", "session_id", "endpoint", "protocol", "mode", "version_name", "cipher_name", text("rules", " "))
 
 
@@ -678,3 +678,79 @@ def session_export(spark, d):
 def report_json_rows(spark, d):
     return sinks.as_json(Analysis(spark, d).sessions.select("capture_id", "session_id", "protocol", "mode", "starttls_offered", "capabilities"),
                          ["capture_id", "session_id"])
+
+
+# --------------------------------------------------------------------------- models
+def _labelled(spark, d):
+    a = Analysis(spark, d, staged=True)
+    risks = scoring.session_rule_risk(a.sessions, a.all_findings)
+    return cut_lineage(a.features.join(risks, ["capture_id", "session_id"]))
+
+
+@query
+def group_splits(spark, d):
+    return views.view(spark, d, "v_sessions").select("capture_id", "session_id", models.split_of(F.col("endpoint_key")).alias("split"))
+
+
+@query
+def model_metrics(spark, d):
+    s = views.view(spark, d, "v_sessions")
+    rows = s.select(models.split_of(F.col("endpoint_key")).alias("split"), (F.col("session_id") % 101).cast("double").alias("y"),
+                    (F.col("session_id") % 101 + F.col("session_id") % 7 - 3).cast("double").alias("p"))
+    return models.regression_metrics(rows, ["split"], "y", "p")
+
+
+def _closed_form(df: DataFrame) -> DataFrame:
+    total = F.lit(0.0)
+    for i, name in enumerate(dims.FEATURES):
+        total = total + F.col(name) * (i % 5 + 1.5)
+    return df.withColumn("f", total)
+
+
+@query
+def risk_explanations(spark, d):
+    a = Analysis(spark, d, staged=True)
+    return models.top_contributions(models.shapley(cut_lineage(a.features), _closed_form)).select(
+        "capture_id", "session_id", "feature_group", "phi")
+
+
+@query
+def risk_model_predictions(spark, d):
+    rows = _labelled(spark, d).withColumn("split", models.split_of(F.col("capture_id")))
+    model = models.train_risk(rows.where("split = 'train'"))
+    return models.predict_risk(model, rows).select("capture_id", "session_id", "split", "rule_risk", "model_risk")
+
+
+@query
+def isolation_forest_outliers(spark, d):
+    rows = cut_lineage(Analysis(spark, d, staged=True).features)
+    keys = ["capture_id", "session_id"]
+    return models.flag_outliers(models.anomaly_scores(rows, models.isolation_forest(rows, keys), keys))
+
+
+@query
+def outlier_reasons(spark, d):
+    return models.outlier_reasons(cut_lineage(Analysis(spark, d, staged=True).features), ["capture_id", "session_id"])
+
+
+@query
+def detection_by_variant(spark, d):
+    return models.detection_rates(views.view(spark, d, "v_expected"), views.view(spark, d, "v_detected"), "variant")
+
+
+@query
+def detection_by_protocol(spark, d):
+    return models.detection_rates(views.view(spark, d, "v_expected"), views.view(spark, d, "v_detected"), "protocol")
+
+
+@query
+def clean_step_check(spark, d):
+    return models.clean_steps(views.view(spark, d, "v_expected"), views.view(spark, d, "v_detected"), "variant")
+
+
+@query
+def extraction_agreement(spark, d):
+    a = views.view(spark, d, "v_handshakes")
+    b = a.select("session_id", F.when(F.col("session_id") % 50 == 0, 0).otherwise(F.col("version")).alias("version"),
+                 F.when(F.col("session_id") % 70 == 0, None).otherwise(F.col("cipher_suite")).alias("cipher_suite"), "sni")
+    return models.agreement(a, b, "session_id", ["version", "cipher_suite", "sni"])

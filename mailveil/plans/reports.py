@@ -131,9 +131,11 @@ def search_findings(findings: DataFrame, severities: list[str], text: str) -> Da
     return findings.where(F.col("severity").isin(*severities) & shown.contains(text.lower()))
 
 
-def session_detail(facts: DataFrame, findings: DataFrame, capture_id: str, session_id) -> DataFrame:
-    """Everything known about one session; both filters reach the scans."""
-    one = (F.col("capture_id") == capture_id) & (F.col("session_id") == session_id)
+def session_detail(facts: DataFrame, findings: DataFrame, session_id, capture_id: str | None = None) -> DataFrame:
+    """Everything known about one session; the filters reach the scans."""
+    one = F.col("session_id") == session_id
+    if capture_id is not None:
+        one = one & (F.col("capture_id") == capture_id)
     rules = findings.where(one).groupBy(*KEYS).agg(F.sort_array(F.collect_list("rule_id")).alias("rules"))
     return facts.where(one).join(rules, KEYS, "left")
 
@@ -225,7 +227,7 @@ def attach_findings(steps: DataFrame, findings: DataFrame) -> DataFrame:
         side = first.select(*KEYS, F.col("key").alias(key), F.col("at").alias(f"at_{key}"))
         rows = rows.join(side, [*KEYS, key], "left")
     at = F.when(F.col("key1") == "first", 1).otherwise(F.coalesce("at_key1", "at_key2", "last"))
-    return rows.join(last, KEYS).select(*KEYS, "rule_id", at.alias("step"))
+    return rows.join(last, KEYS, "left").select(*KEYS, "rule_id", at.alias("step"))
 
 
 def flat_sessions(facts: DataFrame, features: DataFrame, findings: DataFrame, risks: DataFrame) -> DataFrame:

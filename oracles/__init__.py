@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls", "reports"]
+PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls", "reports", "models"]
 
 
 def all_sql() -> dict[str, str]:

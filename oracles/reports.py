@@ -95,7 +95,7 @@ JOIN rr USING (capture_id, session_id) LEFT JOIN (SELECT capture_id, session_id,
 SELECT capture_id, version_name, sum(n)::bigint AS sessions FROM lv GROUP BY ALL""",
     "report_finding_search": c.facts_with(c.FINDINGS) + """ SELECT capture_id, session_id, rule_id, severity FROM findings WHERE severity IN ('critical', 'high') AND (contains(lower(evidence), 'starttls')
   OR (rule_id IN ('STRIP-001', 'INJ-001', 'PLAIN-001') AND (SELECT up FROM facts f WHERE f.capture_id = findings.capture_id AND f.session_id = findings.session_id) = 'STARTTLS'))""",
-    "report_session_detail": c.facts_with(c.FINDINGS) + " SELECT capture_id, session_id, endpoint, protocol, mode, version_name, cipher_name, (SELECT string_agg(rule_id, ' ' ORDER BY rule_id) FROM findings n WHERE n.capture_id = f.capture_id AND n.session_id = f.session_id) AS rules FROM facts f WHERE capture_id = 'cap2' AND session_id = 8",
+    "report_session_detail": c.facts_with(c.FINDINGS) + " SELECT capture_id, session_id, endpoint, protocol, mode, version_name, cipher_name, (SELECT string_agg(rule_id, ' ' ORDER BY rule_id) FROM findings n WHERE n.capture_id = f.capture_id AND n.session_id = f.session_id) AS rules FROM facts f WHERE session_id = 8",
     "report_capture_meta": with_clause(["v_sessions"]) + ", " + b.CAPS + """ SELECT k.capture_id, coalesce(min(start_ts), 0) AS capture_start, coalesce(max(end_ts), 0) AS capture_end, count(session_id) AS mail_sessions, count(*) FILTER (WHERE gaps > 0) AS with_gaps
   FROM caps k LEFT JOIN v_sessions s USING (capture_id) GROUP BY ALL""",
     "report_corpus_rollup": f"SELECT grade, count(*) AS captures, count(*) FILTER (WHERE sessions > 0) AS with_mail, sum(sessions)::bigint AS sessions, sum(critical)::bigint AS critical, sum(high)::bigint AS high FROM ({POSTURE}) GROUP BY ALL",
