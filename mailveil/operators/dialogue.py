@@ -58,13 +58,17 @@ def before_tls(lines: DataFrame, tls: DataFrame, keys: list[str]) -> DataFrame:
             .where(F.col("tls_off").isNull() | (F.col("off") < F.col("tls_off"))).drop("tls_off", "complete"))
 
 
-def smtp_replies(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Server lines grouped to replies: '250-' continues, '250 ' ends; code from the first line."""
+def reply_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Server lines with the number of the reply they belong to: '250-' continues, '250 ' ends."""
     final = (F.length("line") < 4) | (F.substring("line", 4, 1) != "-")
     parted = lines.withColumn("_part", F.floor(F.col("line_no") / LINES_PER_PART).cast("bigint"))
-    numbered = preceding(parted, keys, ["line_no"], "_part", sums={"reply_no": F.when(final, 1).otherwise(0)})
+    return preceding(parted, keys, ["line_no"], "_part", sums={"reply_no": F.when(final, 1).otherwise(0)}).drop("_part")
+
+
+def smtp_replies(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per reply: code and text of its first line, number of lines."""
     first = F.min_by("line", "line_no")
-    return (numbered.groupBy(*keys, "reply_no").agg(
+    return (reply_lines(lines, keys).groupBy(*keys, "reply_no").agg(
         first.alias("_first"), F.count("*").alias("lines"), F.min("off").alias("off"), F.min("line_no").alias("first_line"))
         .select(*keys, F.col("reply_no").cast("bigint").alias("reply_no"),
                 F.coalesce(F.substring("_first", 1, 3).try_cast("int"), F.lit(0)).alias("code"),

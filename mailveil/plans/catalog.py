@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailveil import dims
 from mailveil.functions import text as tx
-from mailveil.operators import baseline, certificates, dialogue, flows, handshake, models, packets, rules, scoring
+from mailveil.operators import baseline, certificates, dialogue, flows, handshake, models, packets, rules, scoring, smtp
 from mailveil.operators.ordered import number_rows
 from mailveil.plans import reports, views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
@@ -754,3 +754,34 @@ def extraction_agreement(spark, d):
     b = a.select("session_id", F.when(F.col("session_id") % 50 == 0, 0).otherwise(F.col("version")).alias("version"),
                  F.when(F.col("session_id") % 70 == 0, None).otherwise(F.col("cipher_suite")).alias("cipher_suite"), "sni")
     return models.agreement(a, b, "session_id", ["version", "cipher_suite", "sni"])
+
+
+# --------------------------------------------------------------------------- SMTP dialogue
+def _smtp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(events, server lines) of the SMTP stand-ins, read as chunked streams."""
+    keys = ["session_id"]
+    text_rows = views.view(spark, d, "v_smtp")
+
+    def lines(side: str) -> DataFrame:
+        whole = text_rows.select("session_id", F.col(f"{side}_text").alias("text"))
+        return cut_lineage(dialogue.stream_lines(dialogue.cut_text(whole, keys, CHUNK), keys).where("complete"))
+
+    server = lines("server")
+    return smtp.events(lines("client"), cut_lineage(dialogue.smtp_replies(server, keys)), keys), server
+
+
+@query
+def smtp_events(spark, d):
+    return _smtp(spark, d)[0].select("session_id", "line_no", "kind", F.when(F.col("kind") == "command", F.col("verb")).alias("verb"), "reply_no", "code")
+
+
+@query
+def smtp_sessions(spark, d):
+    rows, server = _smtp(spark, d)
+    return smtp.sessions(cut_lineage(rows), server, ["session_id"]).withColumns(
+        {"capabilities": F.array_join("capabilities", " "), "strip_indicators": F.array_join("strip_indicators", " | ")})
+
+
+@query
+def smtp_auth_events(spark, d):
+    return smtp.auth_events(_smtp(spark, d)[0], ["session_id"])

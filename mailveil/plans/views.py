@@ -206,6 +206,23 @@ SELECT doc_id AS session_id, CASE WHEN n_chars % 5 = 0 THEN 'CRED-001' WHEN n_ch
 """
 
 
+VIEWS["v_smtp"] = """
+SELECT o_orderkey AS session_id, concat(CASE WHEN o_orderkey % 7 = 0 THEN 'HELO c' ELSE 'EHLO c' END, chr(13), chr(10), CASE o_orderkey % 5
+   WHEN 0 THEN concat('MAIL FROM:<a>', chr(13), chr(10), 'RCPT TO:<b>', chr(13), chr(10), 'DATA', chr(13), chr(10), 'Subject: x', chr(13), chr(10), '', chr(13), chr(10), 'DATA', chr(13), chr(10), concat('body ', o_custkey), chr(13), chr(10), '.', chr(13), chr(10), 'QUIT', chr(13), chr(10))
+   WHEN 1 THEN concat('DATA', chr(13), chr(10), 'RSET', chr(13), chr(10), 'DATA', chr(13), chr(10), 'hello', chr(13), chr(10), '.', chr(13), chr(10), 'QUIT', chr(13), chr(10))
+   WHEN 2 THEN concat('AUTH LOGIN', chr(13), chr(10), $B64(concat('user', o_custkey)), chr(13), chr(10), $B64('pw'), chr(13), chr(10), 'QUIT', chr(13), chr(10))
+   WHEN 3 THEN concat(concat('AUTH PLAIN ', $B64(concat('', chr(0), 'u', o_custkey, chr(0), 'pw'))), chr(13), chr(10), 'NOOP', chr(13), chr(10), 'QUIT', chr(13), chr(10))
+   ELSE concat('STARTTLS', chr(13), chr(10), 'MAIL FROM:<a>', chr(13), chr(10), 'QUIT', chr(13), chr(10)) END) AS client_text,
+  concat('220 mx.example.org ready', chr(13), chr(10), CASE WHEN o_orderkey % 7 = 0 THEN '250 mx' ELSE concat('250-mx', chr(13), chr(10), '250-SIZE 100', chr(13), chr(10), CASE WHEN o_orderkey % 5 = 4 THEN '250 XXXXXXXX' ELSE '250 STARTTLS' END) END, chr(13), chr(10), CASE o_orderkey % 5
+   WHEN 0 THEN concat('250 ok', chr(13), chr(10), '250 ok', chr(13), chr(10), '354 go', chr(13), chr(10), '250 queued', chr(13), chr(10), '221 bye', chr(13), chr(10))
+   WHEN 1 THEN concat('503 no', chr(13), chr(10), '250 reset', chr(13), chr(10), '354 go', chr(13), chr(10), '250 queued', chr(13), chr(10), '221 bye', chr(13), chr(10))
+   WHEN 2 THEN concat('334 VXNlcm5hbWU6', chr(13), chr(10), '334 UGFzc3dvcmQ6', chr(13), chr(10), '235 ok', chr(13), chr(10), '221 bye', chr(13), chr(10))
+   WHEN 3 THEN concat('535 bad', chr(13), chr(10), '250 ok', chr(13), chr(10), '221 bye', chr(13), chr(10))
+   ELSE concat('454 later', chr(13), chr(10), '250 ok', chr(13), chr(10), '221 bye', chr(13), chr(10)) END) AS server_text
+FROM orders
+"""
+
+
 def _hex(expr: str, digits: int) -> str:
     """Big-endian hex text of a number; the same words in both dialects."""
     return f"lpad(hex(cast({expr} AS bigint)), {digits}, '0')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls", "reports", "models"]
+PARTS = ["rules", "baseline", "flows", "dialogue", "ingest", "tls", "reports", "models", "smtp"]
 
 
 def all_sql() -> dict[str, str]:
