@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailveil import dims
 from mailveil.functions import text as tx
-from mailveil.operators import baseline, certificates, dialogue, flows, handshake, models, packets, rules, scoring, smtp
+from mailveil.operators import baseline, certificates, dialogue, flows, handshake, imap, models, packets, rules, scoring, smtp
 from mailveil.operators.ordered import number_rows
 from mailveil.plans import reports, views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
@@ -785,3 +785,29 @@ def smtp_sessions(spark, d):
 @query
 def smtp_auth_events(spark, d):
     return smtp.auth_events(_smtp(spark, d)[0], ["session_id"])
+
+
+# --------------------------------------------------------------------------- IMAP dialogue
+def _imap_lines(spark: SparkSession, d: str, side: str) -> DataFrame:
+    base = views.view(spark, d, "v_imap").select("session_id", F.col(f"{side}_text").alias("text"))
+    return dialogue.stream_lines(dialogue.cut_text(base, ["session_id"], CHUNK), ["session_id"]).where("complete")
+
+
+def _imap_commands(spark: SparkSession, d: str) -> DataFrame:
+    return imap.commands(_imap_lines(spark, d, "client"), _imap_lines(spark, d, "server"), ["session_id"])
+
+
+@query
+def imap_commands(spark, d):
+    return _imap_commands(spark, d).select("session_id", "line_no", "tag", "verb", "status", "answer")
+
+
+@query
+def imap_capabilities(spark, d):
+    return imap.capability_lists(_imap_lines(spark, d, "server"), ["session_id"]).select(
+        "session_id", "line_no", text("capabilities", " "))
+
+
+@query
+def imap_login_events(spark, d):
+    return imap.login_events(_imap_commands(spark, d), ["session_id"])

@@ -223,6 +223,15 @@ FROM orders
 """
 
 
+VIEWS["v_imap"] = """
+SELECT o_orderkey AS session_id, concat('a1 CAPABILITY', chr(13), chr(10), 'a2 ', CASE WHEN o_orderkey % 3 = 0 THEN concat('login u', o_custkey, ' "p w"') WHEN o_orderkey % 3 = 1 THEN 'STARTTLS' ELSE 'NOOP' END, chr(13), chr(10),
+    'junk', chr(13), chr(10), 'a2 LOGOUT', chr(13), chr(10)) AS client_text,
+  concat('* OK [CAPABILITY IMAP4rev1 starttls] ready', chr(13), chr(10), '* CAPABILITY IMAP4rev1 ', CASE WHEN o_orderkey % 4 = 0 THEN 'XXXXXXXX' ELSE 'STARTTLS' END, chr(13), chr(10), 'a1 OK done', chr(13), chr(10),
+    'a2 ', CASE WHEN o_orderkey % 2 = 0 THEN 'OK' ELSE 'NO' END, ' first', chr(13), chr(10), '* BYE', chr(13), chr(10), CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('a2 OK out', chr(13), chr(10)) END) AS server_text
+FROM orders
+"""
+
+
 def _hex(expr: str, digits: int) -> str:
     """Big-endian hex text of a number; the same words in both dialects."""
     return f"lpad(hex(cast({expr} AS bigint)), {digits}, '0')"

@@ -27,4 +27,10 @@ UNION ALL SELECT o_orderkey, 0, 'command', CASE WHEN o_orderkey % 7 = 0 THEN 'HE
   CASE WHEN o_orderkey % 5 = 4 THEN concat(CASE WHEN o_orderkey % 7 <> 0 THEN 'EHLO capability ''XXXXXXXX'' is a same-length rewrite of STARTTLS | ' ELSE '' END, 'STARTTLS refused with ''454 later''') ELSE '' END AS strip_indicators FROM orders""",
     "smtp_auth_events": """SELECT o_orderkey AS session_id, CASE o_orderkey % 5 WHEN 2 THEN 'LOGIN' ELSE 'PLAIN' END AS mechanism, concat(CASE o_orderkey % 5 WHEN 2 THEN 'user' ELSE 'u' END, o_custkey) AS username,
   true AS secret_exposed, o_orderkey % 5 = 2 AS accepted FROM orders WHERE o_orderkey % 5 IN (2, 3)""",
+    "imap_commands": """SELECT o_orderkey AS session_id, 0 AS line_no, 'a1' AS tag, 'CAPABILITY' AS verb, 'OK' AS status, 'a1 OK done' AS answer FROM orders
+UNION ALL SELECT o_orderkey, 1, 'a2', ['LOGIN', 'STARTTLS', 'NOOP'][o_orderkey % 3 + 1], CASE WHEN o_orderkey % 2 = 0 THEN 'OK' ELSE 'NO' END, CASE WHEN o_orderkey % 2 = 0 THEN 'a2 OK first' ELSE 'a2 NO first' END FROM orders
+UNION ALL SELECT o_orderkey, 3, 'a2', 'LOGOUT', CASE WHEN o_orderkey % 5 <> 0 THEN 'OK' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'a2 OK out' END FROM orders""",
+    "imap_capabilities": """SELECT o_orderkey AS session_id, 0 AS line_no, 'IMAP4REV1 STARTTLS' AS capabilities FROM orders
+UNION ALL SELECT o_orderkey, 1, CASE WHEN o_orderkey % 4 = 0 THEN 'IMAP4REV1 XXXXXXXX' ELSE 'IMAP4REV1 STARTTLS' END FROM orders""",
+    "imap_login_events": """SELECT o_orderkey AS session_id, 1 AS line_no, 'IMAP-LOGIN' AS mechanism, concat('u', o_custkey) AS username, true AS secret_exposed, o_orderkey % 2 = 0 AS accepted FROM orders WHERE o_orderkey % 3 = 0""",
 }
