@@ -27,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        edges = rows.stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, rows.stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        rows.discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.sum(F.col("u").cast("decimal(38,0)")).alias("t")).first()
         if now == last:
             break

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailveil.llm import rows, words
@@ -30,7 +30,7 @@ from mailveil.llm.components import components
 SHINGLE, PERCENT = 4, 85
 #: Members from which a region is large; the part of the shingles that is counted to find large ones ahead; bits of the bitmaps.
 LARGE, COUNTED, BITS = 48, 0.35, 24
-CENTRES = 3
+AROUND, CENTRES = 16, 3
 
 _TOP = np.uint64(1 << 63)
 
@@ -52,6 +52,10 @@ class Sets:
         values = values >> np.uint64(1)
         if late is not None:
             values = values | np.where(rows.maybe_in(late, values), _TOP, np.uint64(0))
+        self._in_text = values, owner
+        self._arrange(values, owner, n)
+
+    def _arrange(self, values: np.ndarray, owner: np.ndarray, n: int) -> None:
         order = np.lexsort((values, owner))
         values, owner = values[order], owner[order]
         new = np.ones(len(values), bool)
@@ -60,6 +64,14 @@ class Sets:
         self.sizes = np.bincount(self.owner, minlength=n)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
+    def only_around(self, marked: np.ndarray, reach: int) -> None:
+        """Leave the shingles that stand at most `reach` places from a marked one in the texts."""
+        values, owner = self._in_text
+        counts = np.concatenate([[0], np.cumsum(rows.maybe_in(marked, values))])
+        at = np.arange(len(values))
+        close = counts[np.minimum(at + reach + 1, len(values))] > counts[np.maximum(at - reach, 0)]
+        self._arrange(values[close], owner[close], len(self.sizes))
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         plain = self.values & ~_TOP
         out = []
@@ -80,16 +92,30 @@ def least_shared(size: Column, percent: int) -> Column:
 
 
 def frequent(docs: DataFrame, size: int, large: int) -> np.ndarray:
-    """A bitmap of the shingles that at least `large` documents hold, of those in the counted part of the hash range."""
+    """A bitmap of shingles that at least `large` documents hold.
+
+    First those of a part of the hash range are counted, then the others that stand near one of those found: passages that
+    many documents share are long. Any set of shingles may come late in the order, so what is missed costs time only.
+    """
     limit = np.uint64(int(COUNTED * 2.0**63))
 
-    def work(text):
-        sets = Sets(text, size)
-        values, counts = np.unique(sets.values[sets.values < limit], return_counts=True)
-        return {"s": values.view(np.int64), "n": counts}
+    def counting(found: np.ndarray | None) -> DataFrame:
+        def work(text):
+            sets = Sets(text, size)
+            if found is None:
+                wanted = sets.values[sets.values < limit]
+            else:
+                sets.only_around(found, AROUND)
+                wanted = sets.values[sets.values >= limit]
+            values, counts = np.unique(wanted, return_counts=True)
+            return {"s": values.view(np.int64), "n": counts}
+
+        counted = rows.per_batch(docs.select("text"), pa.schema([("s", pa.int64()), ("n", pa.int64())]), work, 16 << 20)
+        return counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= large)
 
-    counted = rows.per_batch(docs.select("text"), pa.schema([("s", pa.int64()), ("n", pa.int64())]), work, 16 << 20)
-    return rows.bitmap(docs.sparkSession, counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= large), "s", BITS)
+    found = rows.bitmap(docs.sparkSession, counting(None), "s", BITS)
+    rows.release(docs.sparkSession)
+    return found | rows.bitmap(docs.sparkSession, counting(found), "s", BITS)
 
 
 PLACED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_late", pa.int32()), ("pivots", pa.list_(pa.int64()))])
@@ -125,7 +151,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         return {"doc_id": doc_id, "d1": d1, "d2": d2, "shingles": sets.lists(np.ones(len(sets.values), bool))}
 
     held = rows.per_batch(docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id"), "doc_id", "text"), HELD, work)
-    return held.join(wanted, ["doc_id", "d1", "d2"]).groupBy("c").agg(F.first("shingles").alias("shingles"))
+    key = ["doc_id", "d1", "d2"]
+    return held.groupBy(*key).agg(F.first("shingles").alias("shingles")).join(wanted, key).select("c", "shingles")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -134,7 +161,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     sets = rows.stage(whole_sets(docs, rows.stage(wanted.join(classes.select("c", F.col("rep").alias("doc_id"), "d1", "d2"), "c")), size))
     first, second = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
     shared = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
-    return shared.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select("a", "b", "shared")
+    links = rows.stage(shared.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select("a", "b", "shared"))
+    rows.discard(sets)
+    return links
 
 
 def may_link(shared: Column, percent: int) -> Column:
@@ -151,19 +180,19 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     late = frequent(docs, size, large)
+    digest = ["d1", "d2", "n"]
     while True:
         place = rows.stage(placed(docs, size, percent, late))
-        digest = ["d1", "d2", "n"]
         classes = rows.stage(place.where(F.col("n") > 0).groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("n_late").alias("n_late"), F.first("pivots").alias("pivots"))
                              .where(F.col("rep").isNotNull()).withColumn("c", F.monotonically_increasing_id()))
         member = classes.select("c", "n", "n_late", F.explode("pivots").alias("s"))
-        regions = rows.stage(member.where(F.col("s") >= 0).groupBy("s").agg(F.count("*").alias("m")).where(F.col("m") > 1))
-        more = regions.where(F.col("m") > large)
-        if more.isEmpty():
+        inside = rows.stage(member.where(F.col("s") >= 0).withColumn("m", F.count("*").over(Window.partitionBy("s"))).where(F.col("m") > 1))
+        if inside.where(F.col("m") > large).isEmpty():
             break
-        late = late | rows.bitmap(docs.sparkSession, more, "s", BITS)  # these pivots go to the end of the order too
+        # These pivots go to the end of the order too.
+        late = late | rows.bitmap(docs.sparkSession, inside.where(F.col("m") > large // 2).select("s").distinct(), "s", BITS)
+        rows.discard(place, classes, inside)
 
-    inside = member.join(regions.select("s"), "s").select("s", "c", "n", "n_late")
     one, two = (inside.select("s", *(F.col(k).alias(k + x) for k in ("c", "n", "n_late"))) for x in "ab")
     near = (one.join(two, "s").where((F.col("ca") < F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
             .groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("k"), *(F.first(k).alias(k) for k in ("na", "nb", "n_latea", "n_lateb"))))
@@ -175,7 +204,7 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     # The centres with the fewest rare shingles among those of a member's regions.
     star = (crowd.join(centre, "s").where(F.col("best.c") != F.col("c")).groupBy("c").agg(F.array_sort(F.collect_set("best")).alias("best"))
             .select("c", F.explode(F.slice("best", 1, CENTRES)).alias("best")).select(F.least("c", "best.c").alias("a"), F.greatest("c", "best.c").alias("b")))
-    links = rows.stage(verified(rows.stage(near.union(star).distinct()), classes, docs, size, percent))
+    links = verified(rows.stage(near.union(star).distinct()), classes, docs, size, percent)
     if not crowd.isEmpty():
         links = links.unionByName(_rest(crowd, links, classes, docs, size, percent))
     copies = place.select("doc_id", *digest).join(classes.select("c", *digest), digest, "left").select("doc_id", "n", "c")
@@ -195,7 +224,7 @@ def _rest(crowd: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFram
              .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
              .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("k"), *(F.first(x).alias(x) for x in ("na", "nb", "rarea", "rareb"))))
     apart = apart.where(may_link(F.col("k") + F.least("rarea", "rareb"), percent)).select("a", "b")
-    return rows.stage(verified(rows.stage(apart), classes, docs, size, percent))
+    return verified(rows.stage(apart), classes, docs, size, percent)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, large: int = LARGE) -> DataFrame:

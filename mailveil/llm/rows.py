@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -61,8 +62,26 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder and go on from there."""
-    return cut_lineage(df)
+    """Write a step to the shared folder and go on from there; shuffle files below it may go."""
+    staged = cut_lineage(df)
+    release(df.sparkSession)
+    return staged
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files that no live plan refers to, which it finds by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            if where.getName().startswith("stage-"):
+                where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bitmap(spark: SparkSession, hashes: DataFrame, column: str, bits: int) -> np.ndarray:
