@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailveil.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from mailveil.llm import bpe, decontaminate, extraction, fixity, jaccard, lines, pitman_yor, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op2_decontamination": decontaminate.query,
     "op3_secrets": secrets.query,
+    "op4_pitman_yor": pitman_yor.query,
+    "op5_line_quality": lines.query,
     "op6_bpe": bpe.query,
+    "op7_html_extraction": extraction.query,
+    "op8_warc_fixity": fixity.query,
+    "op9_quality_gam": quality.query,
     "op10_jaccard_join": jaccard.query,
 }
 
-SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_warc_fixity": fixity.SQL}

@@ -42,6 +42,7 @@ def per_batch(df: DataFrame, schema: pa.Schema, work: Batch, most: int = SLICE_B
     A column may be a numpy array, a list or an Arrow array. Rows may become more or fewer.
     """
     ship_package(df.sparkSession)
+    df = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
