@@ -8,7 +8,7 @@ n - ceil(0.85 n) + 1 pivots for that, and two documents of a region only compare
 
 The order puts pivots of large regions last. Documents that still lie in large regions consist of frequent shingles almost
 entirely; those regions are joined again, with documents as pivots: centres with the fewest rare shingles. Members are
-linked to their region's centres first. What is left between different components of a region is compared in the next
+linked to their regions' centres first. What is left between different components around a centre is compared in the next
 round, members outside the largest component against all. Every candidate is verified on its whole sets, so the result is
 exact; nothing is capped. All tables are one row per document, shingle of a prefix, or candidate pair.
 
@@ -198,12 +198,14 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             .groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("k"), *(F.first(k).alias(k) for k in ("na", "nb", "n_latea", "n_lateb"))))
     near = near.where(may_link(F.col("k") + F.least("n_latea", "n_lateb"), percent)).select("a", "b")
 
-    crowd = member.where(F.col("s") < 0).select("c", "n", (F.floor((F.col("n") * (100 - percent)) / 100) + 1 - F.col("n_late")).cast("int").alias("rare"), "s")
-    crowd = rows.stage(crowd)
-    centre = crowd.groupBy("s").agg(F.min(F.struct("rare", "c")).alias("best"))
-    # The centres with the fewest rare shingles among those of a member's regions.
-    star = (crowd.join(centre, "s").where(F.col("best.c") != F.col("c")).groupBy("c").agg(F.array_sort(F.collect_set("best")).alias("best"))
-            .select("c", F.explode(F.slice("best", 1, CENTRES)).alias("best")).select(F.least("c", "best.c").alias("a"), F.greatest("c", "best.c").alias("b")))
+    # What is late in a member's pivots, and the centres of those regions: the members with the fewest rare shingles.
+    rare = (F.floor((F.col("n") * (100 - percent)) / 100) + 1 - F.col("n_late")).cast("int").alias("rare")
+    late_ones = classes.where(F.col("n_late") > 0).select("c", "n", rare, F.filter("pivots", lambda s: s < 0).alias("late"))
+    region = late_ones.select("c", "rare", F.explode("late").alias("s"))
+    centre = region.groupBy("s").agg(F.min(F.struct("rare", "c")).alias("best"))
+    crowd = rows.stage(region.join(centre, "s").groupBy("c").agg(F.array_sort(F.collect_set("best")).alias("best")).join(late_ones, "c"))
+    star = (crowd.select("c", F.explode(F.slice("best", 1, CENTRES)).alias("best")).where(F.col("best.c") != F.col("c"))
+            .select(F.least("c", "best.c").alias("a"), F.greatest("c", "best.c").alias("b")))
     links = verified(rows.stage(near.union(star).distinct()), classes, docs, size, percent)
     if not crowd.isEmpty():
         links = links.unionByName(_rest(crowd, links, classes, docs, size, percent))
@@ -212,18 +214,21 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
 
 def _rest(crowd: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components of the large regions: members outside a region's largest component against all."""
+    """Links between different components of the large regions: members outside a centre's largest component against all.
+
+    Two members of a large region have its centre in common, so they meet there once, whatever number of pivots they share.
+    """
     found = components(links.select("a", "b")).withColumnRenamed("node", "c")
-    known = rows.stage(crowd.join(found, "c", "left").select("s", "c", "n", "rare", F.coalesce("root", "c").alias("root")))
-    sizes = known.groupBy("s", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("s").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-    open_ = rows.stage(known.join(main.select("s", F.col("top.root").alias("main")), "s"))
-    one, two = (open_.select("s", "main", *(F.col(k).alias(k + x) for k in ("c", "n", "rare", "root"))) for x in "ab")
-    apart = (one.where(F.col("roota") != F.col("main")).join(two.drop("main"), "s")
-             .where((F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("main")) | (F.col("ca") < F.col("cb"))))
-             .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-             .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("k"), *(F.first(x).alias(x) for x in ("na", "nb", "rarea", "rareb"))))
-    apart = apart.where(may_link(F.col("k") + F.least("rarea", "rareb"), percent)).select("a", "b")
+    known = rows.stage(crowd.join(found, "c", "left").select("c", "n", "rare", "late", F.coalesce("root", "c").alias("root"), F.explode(F.transform("best", lambda x: x["c"])).alias("centre")))
+    sizes = known.groupBy("centre", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("centre").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
+    open_ = rows.stage(known.join(main.select("centre", F.col("top.root").alias("main")), "centre"))
+    one, two = (open_.select("centre", "main", *(F.col(k).alias(k + x) for k in ("c", "n", "rare", "late", "root"))) for x in "ab")
+    one, two = one.where(F.col("roota") != F.col("main")), two.withColumnRenamed("centre", "centreb").drop("main")
+    shared = F.size(F.array_intersect("latea", "lateb"))
+    meet = ((F.col("centre") == F.col("centreb")) & (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+            & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (shared > 0) & may_link(shared + F.least("rarea", "rareb"), percent))
+    apart = one.join(two, meet).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
     return verified(rows.stage(apart), classes, docs, size, percent)
 
 
