@@ -6,9 +6,9 @@ row for that: a single short word would be stored as it is, whatever a dictionar
 same few bytes with either. Both dictionaries are used as plain content, so that words neither knows cost the same. Windows whose gain reaches
 calibrated thresholds are hits, and a calibrated logistic curve of the number and share of hits gives the score.
 
-Toxic documents consist of ordinary words for the most part, so their windows are contrasted first: byte runs of `GRAM`
+Toxic documents consist of ordinary words for the most part, so their windows are contrasted first: byte runs of `GRAMS`
 that occur in a far larger share of the toxic training documents than of the others are kept, and the toxic dictionary is
-trained on the stretches of windows that those runs cover. Training reads at most `SAMPLE` labelled rows; scoring reads
+trained on the stretches of windows that those runs cover, the ordinary one on windows without them. Training reads at most `SAMPLE` labelled rows; scoring reads
 every text whole. Empty, null and wordless texts have no hits and get the curve's value there. Rows that repeat an id are
 scored each for itself; other columns are left out. If no label is 1, nothing is a hit.
 """
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from mailveil.llm import rows
 
 SAMPLE, FOLDS, CUT = 16_000, 5, 0.5
-GRAM, CONTRAST, LEAST_DOCS, LEAST_SHARE = 5, 30.0, 4, 0.01
+GRAMS, CONTRAST, LEAST_DOCS, LEAST_SHARE = (5, 8, 11), 8.0, 4, 0.02
 TIMES = 8
 #: Thresholds of the gain that the curve weighs, and the one whose share of all windows it weighs too.
 GAINS, SHARED = range(1, 8), 3
 #: Bounds of what training brings to the driver: runs, and different windows of each kind.
 RUNS, WINDOWS = 8192, 30_000
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 19, 1 << 15
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 19, 1 << 17
 
 
 def windows(text: str) -> list[bytes]:
@@ -41,19 +41,20 @@ def windows(text: str) -> list[bytes]:
 
 
 def runs(window: bytes) -> list[bytes]:
-    return [window[k:k + GRAM] for k in range(len(window) - GRAM + 1)]
+    return [window[k:k + size] for size in GRAMS for k in range(len(window) - size + 1)]
 
 
 def stretches(window: bytes, wanted: set[bytes]) -> list[bytes]:
     """The parts of a window that wanted runs cover."""
-    out, begin, end = [], 0, 0
-    for k, run in enumerate(runs(window)):
-        if run in wanted:
-            if k > end:
-                out += [window[begin:end]] if end > begin else []
-                begin = k
-            end = k + GRAM
-    return out + ([window[begin:end]] if end > begin else [])
+    out, end = [], 0
+    for begin, stop in sorted((k, k + size) for size in GRAMS for k in range(len(window) - size + 1) if window[k:k + size] in wanted):
+        if out and begin <= end:
+            end = max(end, stop)
+            out[-1] = (out[-1][0], end)
+        else:
+            end = stop
+            out.append((begin, stop))
+    return [window[a:b] for a, b in out]
 
 
 @dataclass
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         found: list[Counter] = [Counter(), Counter()]
         for t, y in zip(text.to_pylist(), label.to_pylist(), strict=True):
             ws = windows(t)
-            found[y].update((s for w in ws for s in stretches(w, wanted)) if y else ws)
+            found[y].update((s for w in ws for s in stretches(w, wanted)) if y else (w for w in ws if wanted.isdisjoint(runs(w))))
         return {"window": list(found[0]) + list(found[1]), "label": [0] * len(found[0]) + [1] * len(found[1]), "n": list(found[0].values()) + list(found[1].values())}
 
     seen = rows.per_batch(chosen, pa.schema([("window", pa.binary()), ("label", pa.int32()), ("n", pa.int64())]), count_windows).groupBy("label", "window").agg(F.sum("n").alias("n"))
