@@ -7,10 +7,13 @@ whose nearest pivot it is. By the triangle inequality on set sizes a document mu
 n - ceil(0.85 n) + 1 pivots for that, and two documents of a region only compare if their sizes allow the radius.
 
 The order puts pivots of large regions last. Documents that still lie in large regions consist of frequent shingles almost
-entirely; those regions are joined again, with documents as pivots: centres with the fewest rare shingles. Members are
-linked to their regions' centres first. What is left between different components around a centre is compared in the next
-round, members outside the largest component against all. Every candidate is verified on its whole sets, so the result is
-exact; nothing is capped. All tables are one row per document, shingle of a prefix, or candidate pair.
+entirely; those regions are joined again, with documents as pivots: centres with the fewest rare shingles. A member is
+written as its difference from the centre, the shingles that just one of both has. That gives its distance from the centre
+at once, and two members differ in just what one of their differences has. Members not both within the radius of the
+centre must share part of their differences then, and only members that meet at such a shared shingle, placed early enough
+in both, are compared: again a join on shingles, with those foreign to the centre first. Members of one component are not
+compared. Every candidate is verified on its whole sets, so the result is exact; nothing is capped. All tables are one row
+per document, shingle of a prefix or a difference, or candidate pair.
 
 Shingles are 63-bit hashes of words, sets are compared by a 128-bit digest; accidental collisions are not resolved.
 Null, empty and wordless texts have empty sets, link with nothing and are their own component. Rows that repeat a doc_id
@@ -30,7 +33,7 @@ from mailveil.llm.components import components
 SHINGLE, PERCENT = 4, 85
 #: Members from which a region is large; the part of the shingles that is counted to find large ones ahead; bits of the bitmaps.
 LARGE, COUNTED, BITS = 48, 0.35, 24
-AROUND, CENTRES = 16, 3
+AROUND = 16
 
 _TOP = np.uint64(1 << 63)
 
@@ -139,14 +142,14 @@ def placed(docs: DataFrame, size: int, percent: int, late: np.ndarray) -> DataFr
 HELD = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, late: np.ndarray) -> DataFrame:
     """c and shingles of the wanted classes (c, doc_id, d1, d2), read from the texts again."""
     asked = rows.bitmap(docs.sparkSession, wanted.select(F.xxhash64("doc_id").alias("h")), "h", BITS)
 
     def work(key, doc_id, text):
         mine = rows.maybe_in(asked, key.to_numpy(zero_copy_only=False).view(np.uint64))
         text, doc_id = text.filter(pa.array(mine)), doc_id.filter(pa.array(mine))
-        sets = Sets(text, size)
+        sets = Sets(text, size, late)
         d1, d2 = sets.digests()
         return {"doc_id": doc_id, "d1": d1, "d2": d2, "shingles": sets.lists(np.ones(len(sets.values), bool))}
 
@@ -155,15 +158,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return held.groupBy(*key).agg(F.first("shingles").alias("shingles")).join(wanted, key).select("c", "shingles")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def linked(shared: Column, both: Column, percent: int) -> Column:
+    """Whether sets of `both` shingles together, so many of them shared, are within the radius."""
+    return shared * 100 >= (both - shared) * percent
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) whose whole sets are within the radius, with the number of shared shingles."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = rows.stage(whole_sets(docs, rows.stage(wanted.join(classes.select("c", F.col("rep").alias("doc_id"), "d1", "d2"), "c")), size))
     first, second = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
     shared = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
-    links = rows.stage(shared.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select("a", "b", "shared"))
-    rows.discard(sets)
-    return links
+    return rows.stage(shared.where(linked(F.col("shared"), F.col("both"), percent)).select("a", "b", "shared"))
 
 
 def may_link(shared: Column, percent: int) -> Column:
@@ -199,37 +203,56 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     near = near.where(may_link(F.col("k") + F.least("n_latea", "n_lateb"), percent)).select("a", "b")
 
     # What is late in a member's pivots, and the centres of those regions: the members with the fewest rare shingles.
+    near = rows.stage(near)
     rare = (F.floor((F.col("n") * (100 - percent)) / 100) + 1 - F.col("n_late")).cast("int").alias("rare")
-    late_ones = classes.where(F.col("n_late") > 0).select("c", "n", rare, F.filter("pivots", lambda s: s < 0).alias("late"))
-    region = late_ones.select("c", "rare", F.explode("late").alias("s"))
-    centre = region.groupBy("s").agg(F.min(F.struct("rare", "c")).alias("best"))
-    crowd = rows.stage(region.join(centre, "s").groupBy("c").agg(F.array_sort(F.collect_set("best")).alias("best")).join(late_ones, "c"))
-    star = (crowd.select("c", F.explode(F.slice("best", 1, CENTRES)).alias("best")).where(F.col("best.c") != F.col("c"))
-            .select(F.least("c", "best.c").alias("a"), F.greatest("c", "best.c").alias("b")))
-    links = verified(rows.stage(near.union(star).distinct()), classes, docs, size, percent)
+    region = classes.where(F.col("n_late") > 0).select("c", "n", rare, F.explode(F.filter("pivots", lambda s: s < 0)).alias("s"))
+    centre = region.groupBy("s").agg(F.min(F.struct("rare", "c", "n")).alias("best"))
+    crowd = rows.stage(region.join(centre, "s").select("c", "n", F.col("best.c").alias("centre"), F.col("best.n").alias("nc")).distinct())
+    wanted = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).union(crowd.select("c")).distinct()
+    sets = rows.stage(whole_sets(docs, rows.stage(wanted.join(classes.select("c", F.col("rep").alias("doc_id"), "d1", "d2"), "c")), size, late))
+    links = verified(near, sets, percent)
     if not crowd.isEmpty():
-        links = links.unionByName(_rest(crowd, links, classes, docs, size, percent))
+        links = _around(crowd, links, sets, percent)
     copies = place.select("doc_id", *digest).join(classes.select("c", *digest), digest, "left").select("doc_id", "n", "c")
     return copies, links
 
 
-def _rest(crowd: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components of the large regions: members outside a centre's largest component against all.
+def _around(crowd: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links, those of members of large regions with their centres, and those left between different components there.
 
-    Two members of a large region have its centre in common, so they meet there once, whatever number of pivots they share.
+    A member's difference x from its centre holds what just one of both has, what the centre lacks first and what many
+    documents hold after the rest of it. Members a and b share (na + nb - xa - xb) / 2 shingles and those that both
+    differences have. If they need none of the latter, both are within the radius of the centre and in its component.
     """
+    mine, centres = sets.select("c", F.col("shingles").alias("own")), sets.select(F.col("c").alias("centre"), F.col("shingles").alias("of_centre"))
+
+    def ordered(x: Column, y: Column) -> Column:
+        return F.array_sort(F.transform(F.array_except(x, y), lambda s: s.bitwiseXOR(F.lit(-(1 << 63)))))
+
+    difference = F.concat(ordered(F.col("own"), F.col("of_centre")), ordered(F.col("of_centre"), F.col("own")))
+    differing = rows.stage(crowd.join(mine, "c").join(centres, "centre").select("c", "n", "centre", "nc", difference.alias("difference")).withColumn("x", F.size("difference")))
+    both = F.col("n") + F.col("nc")
+    shared = ((both - F.col("x")) / 2).cast("int")
+    star = (differing.where((F.col("c") != F.col("centre")) & linked(shared, both, percent))
+            .select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"), shared.alias("shared")).distinct())
+    links = rows.stage(links.unionByName(star))
+
     found = components(links.select("a", "b")).withColumnRenamed("node", "c")
-    known = rows.stage(crowd.join(found, "c", "left").select("c", "n", "rare", "late", F.coalesce("root", "c").alias("root"), F.explode(F.transform("best", lambda x: x["c"])).alias("centre")))
+    known = rows.stage(crowd.select("c", "centre").join(found, "c", "left").select("c", "centre", F.coalesce("root", "c").alias("root")))
     sizes = known.groupBy("centre", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("centre").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-    open_ = rows.stage(known.join(main.select("centre", F.col("top.root").alias("main")), "centre"))
-    one, two = (open_.select("centre", "main", *(F.col(k).alias(k + x) for k in ("c", "n", "rare", "late", "root"))) for x in "ab")
-    one, two = one.where(F.col("roota") != F.col("main")), two.withColumnRenamed("centre", "centreb").drop("main")
-    shared = F.size(F.array_intersect("latea", "lateb"))
-    meet = ((F.col("centre") == F.col("centreb")) & (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("main")) | (F.col("ca") < F.col("cb")))
-            & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (shared > 0) & may_link(shared + F.least("rarea", "rareb"), percent))
-    apart = one.join(two, meet).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    return verified(rows.stage(apart), classes, docs, size, percent)
+    apart = rows.stage(known.join(main.select("centre", F.col("top.root").alias("main")), "centre"))
+    at = rows.stage(differing.join(apart, ["c", "centre"]).select("c", "centre", "root", "main", "n", "x", F.posexplode("difference").alias("pos", "s")))
+
+    one, two = (at.select("centre", "s", "main", *(F.col(k).alias(k + x) for k in ("c", "n", "x", "root", "pos"))) for x in "ab")
+    one, two = one.where(F.col("roota") != F.col("main")), two.drop("main")
+    n, x = F.col("na") + F.col("nb"), F.col("xa") + F.col("xb")
+    need = F.ceil((2 * percent * n - (100 + percent) * (n - x)) / (2 * (100 + percent)))
+    meet = ((F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+            & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+            & (F.col("posa") <= F.col("xa") - need) & (F.col("posb") <= F.col("xb") - need))
+    met = one.join(two, ["centre", "s"]).where(meet).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    return links.unionByName(verified(rows.stage(met), sets, percent))
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
