@@ -113,7 +113,7 @@ def frequent(docs: DataFrame, size: int, large: int) -> np.ndarray:
             values, counts = np.unique(wanted, return_counts=True)
             return {"s": values.view(np.int64), "n": counts}
 
-        counted = rows.per_batch(docs.select("text"), pa.schema([("s", pa.int64()), ("n", pa.int64())]), work, 16 << 20)
+        counted = rows.per_batch(docs.select("text"), pa.schema([("s", pa.int64()), ("n", pa.int64())]), work)
         return counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= large)
 
     found = rows.bitmap(docs.sparkSession, counting(None), "s", BITS)
