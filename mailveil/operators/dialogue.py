@@ -72,7 +72,7 @@ def smtp_replies(lines: DataFrame, keys: list[str]) -> DataFrame:
         first.alias("_first"), F.count("*").alias("lines"), F.min("off").alias("off"), F.min("line_no").alias("first_line"))
         .select(*keys, F.col("reply_no").cast("bigint").alias("reply_no"),
                 F.coalesce(F.substring("_first", 1, 3).try_cast("int"), F.lit(0)).alias("code"),
-                F.substring(F.col("_first"), 5, 100000).alias("reply"), "lines", "off", "first_line"))
+                F.substring(F.col("_first"), F.lit(5), F.length("_first")).alias("reply"), "lines", "off", "first_line"))
 
 
 def pair_turns(commands: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:

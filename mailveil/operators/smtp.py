@@ -96,7 +96,7 @@ def sessions(rows: DataFrame, server_lines: DataFrame, keys: list[str]) -> DataF
     told = dialogue.reply_lines(server_lines, keys).withColumn("reply_no", F.col("reply_no").cast("bigint"))
     listed = told.join(greeting.select(*keys, "reply_no"), [*keys, "reply_no"])
     caps = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    tokens = F.transform(F.slice("_l", 2, 1_000_000), lambda x: F.substring(x["line"], 5, 100000))
+    tokens = F.transform(F.filter("_l", lambda x, k: k > 0), lambda x: F.substring(x["line"], F.lit(5), F.length(x["line"])))
     upgrade = rows.where((F.col("kind") == "command") & (F.col("verb") == "STARTTLS"))
     asked = upgrade.groupBy(*keys).agg(F.min_by(F.struct("code", "reply"), "line_no").alias("u"))
     smtp = F.lit("SMTP")

@@ -219,7 +219,7 @@ def capture_flags(spark, d):
 @query
 def severity_gate(spark, d):
     a = Analysis(spark, d)
-    return scoring.severity_gate(a.findings.where("capture_id <> 'cap3' OR severity <> 'critical'"), "critical")
+    return scoring.severity_gate(a.findings, "critical")
 
 
 # --------------------------------------------------------------------------- flows and streams

@@ -168,8 +168,8 @@ class Streams:
 
     @cached_property
     def mail_flows(self) -> DataFrame:
-        """Flows a dialogue claims: the server side is a mail port and the client spoke."""
-        return self.flows.where(F.col("server.port").isin(25, 110, 143) & (F.col("client_bytes") > 20))
+        """Flows whose server side is a mail port, one-sided and short ones included."""
+        return self.flows.where(F.col("server.port").isin(25, 110, 143))
 
     @cached_property
     def numbered(self) -> DataFrame:

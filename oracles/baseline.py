@@ -167,7 +167,7 @@ SELECT capture_id, session_id, rule_risk, round(least(100::double, CASE WHEN ses
   LEFT JOIN (SELECT capture_id, endpoint, count(*) AS issues, sum({PENALTY.format(col='severity')}) AS pen, count(*) FILTER (WHERE severity = 'critical') AS crit FROM named GROUP BY ALL) u USING (capture_id, endpoint))""",
     "capture_flags": c.facts_with(FLAGS) + " SELECT * FROM flags",
     "severity_gate": c.facts_with(c.FINDINGS) + f""" SELECT capture_id, {NAMES.format(col=f"min({RANKS.format(col='severity')})")} AS worst,
-  min({RANKS.format(col='severity')}) <= 0 AS fails FROM findings WHERE capture_id <> 'cap3' OR severity <> 'critical' GROUP BY capture_id""",
+  min({RANKS.format(col='severity')}) <= 0 AS fails FROM findings GROUP BY capture_id""",
     "posture_by_capture": FULL + ", " + UNIQUE + ", " + FLAGS + ", " + CAPS + f""", base AS (
   SELECT k.capture_id, coalesce(g.sessions, 0) AS sessions, coalesce(g.cleartext_content, false) AS ct, coalesce(g.unverified_tls, false) AS uv,
     cast(greatest(0, 100 - coalesce((SELECT sum({PENALTY.format(col='severity')}) FROM named n WHERE n.capture_id = k.capture_id), 0)) AS bigint) AS earned_score,

@@ -26,12 +26,12 @@ tag AS (SELECT c.capture_id, c.side_a, c.side_b, c.conv_no, c.frame, c.ts, c.src
     k.dir, k.start AS so, x.t, m.session_no, CASE WHEN m.session_no IS NOT NULL THEN CASE m.sport WHEN 25 THEN 'SMTP' WHEN 110 THEN 'POP3' ELSE 'IMAP' END END AS protocol,
     m.session_no IS NOT NULL AND coalesce(k.start >= l.tls_off, false) AS after_tls,
     length(c.payload) >= 5 AND unicode(c.payload) BETWEEN 20 AND 23 AND unicode(substr(c.payload, 2, 1)) = 3 AS head,
-    row_number() OVER (PARTITION BY c.capture_id ORDER BY c.frame) AS position, count(*) OVER (PARTITION BY c.capture_id) > 20000 AS truncated
+    row_number() OVER (PARTITION BY c.capture_id ORDER BY c.frame) AS position, false AS truncated
   FROM conv c LEFT JOIN (SELECT * FROM kinds WHERE NOT covered) k USING (capture_id, side_a, side_b, conv_no, frame)
   LEFT JOIN texts x ON x.capture_id = c.capture_id AND x.side_a = c.side_a AND x.side_b = c.side_b AND x.conv_no = c.conv_no AND x.dir = k.dir
   LEFT JOIN tls l ON l.capture_id = c.capture_id AND l.side_a = c.side_a AND l.side_b = c.side_b AND l.conv_no = c.conv_no AND l.dir = k.dir
   LEFT JOIN mail m ON m.capture_id = c.capture_id AND m.side_a = c.side_a AND m.side_b = c.side_b AND m.conv_no = c.conv_no),
-ctx AS (SELECT *, so = 0 OR substr(t, cast(so AS int), 1) = chr(10) AS at_line, substr(t, cast(so + 1 AS int)) AS body, position(chr(10) IN substr(t, cast(so + 1 AS int), cast(len AS int))) AS nl FROM tag WHERE position <= 20000),
+ctx AS (SELECT *, so = 0 OR substr(t, cast(so AS int), 1) = chr(10) AS at_line, substr(t, cast(so + 1 AS int)) AS body, position(chr(10) IN substr(t, cast(so + 1 AS int), cast(len AS int))) AS nl FROM tag),
 lined AS (SELECT *, CASE WHEN so IS NULL THEN substr(split_part(payload, concat(chr(13), chr(10)), 1), 1, 90)
     ELSE rtrim(substr(split_part(CASE WHEN at_line THEN body ELSE substr(body, cast(nl + 1 AS int)) END, chr(10), 1), 1, 90), chr(13)) END AS line,
   coalesce(nullif(concat_ws(', ', CASE WHEN flags & 2 <> 0 THEN 'SYN' END, CASE WHEN flags & 16 <> 0 THEN 'ACK' END, CASE WHEN flags & 8 <> 0 THEN 'PSH' END,

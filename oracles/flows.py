@@ -58,7 +58,7 @@ flows AS (SELECT *, (SELECT min(frame) FROM conv c WHERE c.capture_id = x.captur
     cast(split_part(server, ':', 2) AS int) AS sport, cast(split_part(client, ':', 2) AS int) AS cport FROM (
   SELECT t.*, r.client, r.server, b.* EXCLUDE (capture_id, side_a, side_b, conv_no) FROM (SELECT capture_id, side_a, side_b, conv_no, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS frames FROM conv GROUP BY ALL) t
   JOIN roles r USING (capture_id, side_a, side_b, conv_no) JOIN both_dirs b USING (capture_id, side_a, side_b, conv_no) WHERE client_bytes + server_bytes > 0) x),
-mail AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ts, first_frame) AS session_no FROM flows WHERE sport IN (25, 110, 143) AND client_bytes > 20)"""
+mail AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ts, first_frame) AS session_no FROM flows WHERE sport IN (25, 110, 143))"""
 
 KEY = "capture_id, side_a, side_b, conv_no"
 SQL = {

@@ -100,3 +100,35 @@ def test_port_reuse_opens_a_new_conversation(spark):
                                "capture_id string, frame long, ts double, src string, sport long, dst string, dport long, seq long, flags long")
     got = {r.frame: r.conv_no for r in flows.split_conversations(df).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1}
+
+
+def hello(extensions):
+    block = b"".join(code.to_bytes(2) + len(data).to_bytes(2) + data for code, data in extensions)
+    return b"\x03\x03" + bytes(32) + b"\x00" + bytes.fromhex("0002c02f") + b"\x01\x00" + len(block).to_bytes(2) + block
+
+
+def test_hello_lists_end_where_their_length_fields_say(spark):
+    """Bytes behind a list belong to nothing; an empty extension has an empty list."""
+    from mailveil.operators import handshake
+    name = b"mail.example"
+    trailing = hello([(0, (len(name) + 3).to_bytes(2) + b"\x00" + len(name).to_bytes(2) + name + b"more"), (10, bytes.fromhex("0002001d0017")),
+                      (11, bytes.fromhex("01000708")), (43, bytes.fromhex("0203040909"))])
+    rows = [("a", "C", "handshake", 1, 0, trailing), ("b", "C", "handshake", 1, 0, hello([(10, b""), (11, b"")]))]
+    messages = spark.createDataFrame(rows, "key string, dir string, kind string, msg_type int, pos int, body binary")
+    a, b = handshake.client_hello(messages).orderBy("key").collect()
+    assert (a.sni, a.raw_groups, a.ec_point_formats, a.raw_versions) == ("mail.example", [29], [0], [772])
+    assert (b.sni, b.raw_groups, b.ec_point_formats, b.raw_versions) == (None, [], [], None)
+
+
+def test_record_flow_keeps_every_message(spark):
+    from mailveil.operators import handshake
+    rows = [("k", "C", "handshake", 11, pos, 0, 0) for pos in range(45)] + [("k", "C", "sealed", 3, 45, 0, 0)]
+    messages = spark.createDataFrame(rows, "key string, dir string, kind string, msg_type int, pos int, level int, description int")
+    flow = handshake.record_flow(messages).first()["flow"]
+    assert len(flow) == 46 and flow[-1] == "encrypted records ×3"
+
+
+def test_wall_clock_shows_milliseconds(spark):
+    from mailveil.operators import packets
+    rows = spark.createDataFrame([("c", 0.0), ("c", 90000.25)], "capture_id string, ts double")
+    assert [r.time_text for r in packets.with_times(rows).orderBy("ts").collect()] == ["00:00:00.000", "01:00:00.250"]
