@@ -261,7 +261,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, large:
     members = rows.stage(members)
     found = components(links.select("a", "b")).withColumnRenamed("node", "c")
     rooted = members.join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Staged, so that no aggregate's partitioning keeps Spark from splitting a large component in the join.
+    least = rows.stage(rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")))
     return (rooted.join(least, "root", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
