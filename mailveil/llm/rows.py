@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -36,6 +37,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         first = last
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a reused Python worker would hold the most that any task before it needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def per_batch(df: DataFrame, schema: pa.Schema, work: Batch, most: int = SLICE_BYTES) -> DataFrame:
     """Map slices of the input's batches: `work` takes the columns in order and returns the columns of `schema`.
 
@@ -45,10 +54,13 @@ def per_batch(df: DataFrame, schema: pa.Schema, work: Batch, most: int = SLICE_B
     df = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = piece = made = None
         for batch in batches:
             for piece in slices(batch, most):
                 made = work(*piece.columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, made[f.name]) for f in schema)], schema=schema)
+        del batch, piece, made
+        give_back()
 
     return df.mapInArrow(run, from_arrow_schema(schema))
 
