@@ -1,19 +1,25 @@
-"""Main text of HTML pages: the article's own blocks, and a suffix array of each host to find its boilerplate.
+"""Main text of HTML pages: a suffix array of each host finds its boilerplate, article marks narrow what is left.
 
 A page is read tag by tag into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by element, role, class or id and left out. Where the page marks an article (`article`, `main`),
-its blocks are the text. Other pages keep what is unique: the token streams of a host's pages are laid side by side, their
-suffixes are sorted by their leading `RUN` tokens (the shuffle deals suffixes with equal leading tokens to one place, so a
-host is never gathered in one task), and suffixes that two different pages share mark a repeated substring. Every token such
-a substring covers goes; the others stay, block by block.
+reader comments are known by element, role, class or id and left out. The token streams of all pages of a host are then laid
+side by side and their suffixes sorted by their leading `RUN` tokens (the shuffle deals suffixes with equal leading tokens to
+one place, so a host is never gathered in one task). A run of `RUN` tokens that lies on `SHARE` of the host's distinct pages,
+and on two at least, is boilerplate; pages of equal text are one page there. Every token that such a run covers goes, and the
+others stay, block by block. Where the page marks an article (`article`, `main`), only its blocks are kept of those.
+
+Before suffixes are shuffled, those that cannot be boilerplate are left out. In each 7 neighbouring windows of 6 tokens the
+one of the least hash is picked, so any two places of one run of 12 tokens have a picked window in common. Picked windows are
+counted, and only suffixes go on whose run holds one that was met twice; a bitmap of 8 MB says so, which may say yes too
+often but never no wrongly.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two line feeds. `br` and
 table cells part words, not blocks. Unclosed elements end with their page. Null, empty and textless pages have the text "".
-Rows that repeat a page_id are read each for itself, and are one page when hosts are compared; a null url counts as host "".
+Rows that repeat a page_id are read each for itself; a null url counts as host "".
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -24,7 +30,8 @@ from pyspark.sql import functions as F
 
 from mailveil.llm import rows, words
 
-RUN = 12
+RUN, SHARE = 12, 0.3
+PICKED, BITS, SALTS = 6, 26, 16
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.DOTALL)
 _RAW = {"script", "style", "textarea", "title", "xmp"}
@@ -53,19 +60,19 @@ def _left_out(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The blocks of text left when furniture is out, and whether an article marked them."""
-    inside: list[str] = []
-    outside: list[str] = []
+def blocks(page: str) -> tuple[list[str], list[bool]]:
+    """The blocks of text left when furniture is out, and whether each lies in a marked article."""
+    found: list[str] = []
+    inside: list[bool] = []
     text: list[str] = []
     article, skipped, depth = 0, "", 0
-    marked = False
 
     def close() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             if block:
-                (inside if article else outside).append(block)
+                found.append(block)
+                inside.append(article > 0)
             text.clear()
 
     at, end = 0, len(page)
@@ -106,75 +113,109 @@ def blocks(page: str) -> tuple[list[str], bool]:
             text.append(" ")
         if tag in _ARTICLE:
             article = max(0, article - 1) if closing else article + 1
-            marked = marked or not closing
     close()
-    return (inside, True) if inside else (outside, False)
+    return found, inside
 
 
-PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("marked", pa.bool_()), ("blocks", pa.list_(pa.string()))])
-SUFFIXES = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])
+PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))])
+WINDOWS = pa.schema([("window", pa.int64())])
+SUFFIXES = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("content", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, whether an article was marked, and the page's blocks."""
+    """row, page_id, url, a hash of the page's whole text, its blocks, and which of them an article holds."""
 
     def work(row, page_id, url, page):
         found = [blocks(p or "") for p in page.to_pylist()]
-        return {"row": row, "page_id": page_id, "url": url, "marked": [m for _, m in found], "blocks": [b for b, _ in found]}
+        content = [int.from_bytes(hashlib.blake2b("\n".join(b).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for b, _ in found]
+        return {"row": row, "page_id": page_id, "url": url, "content": content, "blocks": [b for b, _ in found], "inside": [i for _, i in found]}
 
     return rows.per_batch(pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html"), PARSED, work)
 
 
-def repeated(parsed: DataFrame, run: int = RUN) -> DataFrame:
-    """row and the first tokens of substrings of `run` tokens that another page of the host has too."""
+def picked(hashes: np.ndarray, offsets: np.ndarray, host: np.ndarray, run: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows of `size` tokens that are least among the neighbours of some run; equal runs pick equally."""
+    values = words.mix(words.window_hashes(hashes, size) ^ host[np.searchsorted(offsets, np.arange(max(0, len(hashes) - size + 1)), "right") - 1])
+    starts = np.flatnonzero(words.within(offsets, run))
+    if not len(starts):
+        return starts, values[:0]
+    least, at = values[starts], starts.copy()
+    for k in range(1, run - size + 1):
+        less = values[starts + k] < least
+        least, at = np.where(less, values[starts + k], least), np.where(less, starts + k, at)
+    at = np.unique(at)
+    return at, values[at]
+
+
+def repeated(parsed: DataFrame, run: int = RUN, share: float = SHARE) -> DataFrame:
+    """row and the first tokens of runs of `run` tokens that lie on `share` of the host's distinct pages, and on two at least."""
+    spark, size = parsed.sparkSession, min(PICKED, run)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    streams = parsed.where(F.size("blocks") > 0).select("row", F.xxhash64(host).alias("host"), "content", F.array_join("blocks", " ").alias("text"))
+    as_hash = lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64)
 
-    def work(row, page_id, host_hash, text):
+    def windows(host, text):
         hashes, offsets = words.word_hashes(text, words.SPACED)
-        whole = words.within(offsets, run)
-        at = np.flatnonzero(whole)
-        owner = np.searchsorted(offsets, at, "right") - 1
-        lead = words.mix(words.window_hashes(hashes, run)[at] ^ host_hash.to_numpy(zero_copy_only=False).view(np.uint64)[owner])
-        return {"row": row.take(pa.array(owner)), "page_id": page_id.take(pa.array(owner)), "pos": at - offsets[owner], "lead": lead.view(np.int64)}
+        return {"window": picked(hashes, offsets, as_hash(host), run, size)[1].view(np.int64)}
 
-    streams = parsed.where(~F.col("marked")).select("row", "page_id", F.xxhash64(host).alias("host"), F.array_join("blocks", " ").alias("text"))
-    suffixes = rows.per_batch(streams, SUFFIXES, work)
-    shared = suffixes.groupBy("lead").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where(F.col("a") < F.col("b")).select("lead")
-    return suffixes.join(shared, "lead").groupBy("row").agg(F.collect_list("pos").alias("covered"))
+    twice = rows.per_batch(streams.select("host", "text"), WINDOWS, windows).groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    maybe = spark.sparkContext.broadcast(rows.bitmap(spark, twice, "window", BITS))
+    rows.release(spark)
 
-
-def unique_text(found: list[str], covered: np.ndarray, run: int = RUN) -> list[str]:
-    """The blocks without the tokens that repeated substrings cover; blocks left empty go."""
+    def work(row, host, content, text):
+        hashes, offsets = words.word_hashes(text, words.SPACED)
+        of_text = as_hash(host)
+        at, values = picked(hashes, offsets, of_text, run, size)
+        hot = np.zeros(len(hashes) + 1, np.int64)
+        hot[at[rows.maybe_in(maybe.value, values)] + 1] = 1
+        hot = np.cumsum(hot)
+        at = np.flatnonzero(words.within(offsets, run))
+        at = at[hot[at + run - size + 1] > hot[at]]
+        owner = np.searchsorted(offsets, at, "right") - 1
+        lead = words.mix(words.window_hashes(hashes, run)[at] ^ of_text[owner]) if len(at) else np.zeros(0, np.uint64)
+        take = pa.array(owner)
+        return {"row": row.take(take), "host": host.take(take), "content": content.take(take), "pos": (at - offsets[owner]).astype(np.int32), "lead": lead.view(np.int64)}
+
+    suffixes = rows.stage(rows.per_batch(streams, SUFFIXES, work))
+    least = streams.select("host", "content").distinct().groupBy("host").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * F.lit(share))).alias("least"))
+    lying = suffixes.select("host", "lead", "content").distinct().groupBy("host", "lead").agg(F.count("*").alias("n")).where("n > 1")
+    # A passage on every page of a large host has few leads with many rows: hosts and leads are dealt to several tasks each.
+    salt, salts = lambda key: F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    shared = lying.select("*", salt("lead")).join(least.select("*", salts), ["host", "salt"]).where(F.col("n") >= F.col("least")).select("lead", salts)
+    found = suffixes.select("row", "pos", "lead", salt("row")).join(shared, ["lead", "salt"])
+    return found.groupBy("row").agg(F.collect_list("pos").alias("covered"))
+
+
+def unique_text(found: list[str], inside: list[bool], covered: np.ndarray, run: int = RUN) -> list[str]:
+    """The blocks without the tokens that repeated runs cover, of the article if one is marked; blocks left empty go."""
     out, at = [], 0
     total = sum(len(b.split()) for b in found)
     marks = np.zeros(total + 1, np.int64)
     np.add.at(marks, covered, 1)
     np.add.at(marks, np.minimum(covered + run, total), -1)
     gone = np.cumsum(marks) > 0
-    for block in found:
+    marked = any(inside)
+    for block, own in zip(found, inside, strict=True):
         tokens = block.split()
-        kept = [t for k, t in enumerate(tokens) if not gone[at + k]]
+        kept = [t for k, t in enumerate(tokens) if not gone[at + k]] if own or not marked else []
         at += len(tokens)
         if kept:
             out.append(" ".join(kept))
     return out
 
 
-def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
+def main_text(pages: DataFrame, run: int = RUN, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars for every row of `pages`."""
     parsed = rows.stage(parse(pages))
 
-    def work(page_id, url, found, covered):
+    def work(page_id, url, found, inside, covered):
         texts = []
-        for b, c in zip(found.to_pylist(), covered.to_pylist(), strict=True):
-            texts.append("\n\n".join(unique_text(b, np.array(c), run) if c else b))
+        for b, i, c in zip(found.to_pylist(), inside.to_pylist(), covered.to_pylist(), strict=True):
+            texts.append("\n\n".join(unique_text(b, i, np.array(c or [], np.int64), run)))
         return {"page_id": page_id, "url": url, "text": texts, "n_chars": [len(t) for t in texts]}
 
-    marked, other = parsed.where("marked"), parsed.where("not marked")
-    none = F.lit(None).cast("array<int>")
-    rest = other.join(repeated(parsed, run), "row", "left").select("page_id", "url", "blocks", "covered")
-    return rows.per_batch(marked.select("page_id", "url", "blocks", none.alias("covered")).unionByName(rest), TEXTS, work)
+    return rows.per_batch(parsed.join(repeated(parsed, run, share), "row", "left").select("page_id", "url", "blocks", "inside", "covered"), TEXTS, work)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
