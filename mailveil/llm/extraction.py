@@ -1,7 +1,7 @@
 """Main text of HTML pages: a suffix array of each host finds its boilerplate, article marks narrow what is left.
 
 A page is read tag by tag into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by element, role, class or id and left out. The token streams of all pages of a host are then laid
+reader comments are known by element, role, whole class words or id and left out, but not an element that holds the article. The token streams of all pages of a host are then laid
 side by side and their suffixes sorted by their leading `RUN` tokens (the shuffle deals suffixes with equal leading tokens to
 one place, so a host is never gathered in one task). A run of `RUN` tokens that lies on `SHARE` of the host's distinct pages,
 and on two at least, is boilerplate; pages of equal text are one page there. Every token that such a run covers goes, and the
@@ -13,7 +13,7 @@ counted, and only suffixes go on whose run holds one that was met twice; a bitma
 often but never no wrongly.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two line feeds. `br` and
-table cells part words, not blocks. Unclosed elements end with their page. Null, empty and textless pages have the text "".
+table cells part words, not blocks. Unclosed elements end as HTML has it: with the next sibling, their parent or the page. Null, empty and textless pages have the text "".
 Rows that repeat a page_id are read each for itself; a null url counts as host "".
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,88 +36,155 @@ PICKED, BITS, SALTS = 6, 26, 16
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.DOTALL)
 _RAW = {"script", "style", "textarea", "title", "xmp"}
-_OUT = {"head", "nav", "footer", "aside", "form", "noscript", "template", "iframe", "svg", "button", "select", "object", "canvas", "dialog", "menu", "math"}
+_OUT = {"head", "nav", "footer", "aside", "form", "noscript", "template", "iframe", "svg", "button", "select", "dialog", "menu", "annotation", "annotation-xml"}
 _ARTICLE = {"article", "main"}
-_BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
-          "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
+_BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+          "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul", "xmp"}
 _SPACE = {"br", "td", "th", "caption", "option"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: Elements that end their unclosed parents, as closing tags of the others do not.
+_CLOSERS = _BLOCK | {"td", "th", "caption", "option", "optgroup", "select", "button", "template", "object", "colgroup"}
+#: Start tags that end an open element of these names, as far out as the last of the second set.
+_IN_P = ({"p"}, {"td", "th", "caption", "table", "button", "object", "template", "html"})
+_IMPLIED = dict.fromkeys(_BLOCK - {"body", "caption", "dd", "dt", "figcaption", "head", "html", "legend", "li", "tbody", "tfoot", "thead", "tr"}, _IN_P) | {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "caption"}, {"table"}))}
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "navbar", "nav", "navigation",
           "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "share", "sharing", "social",
-          "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "pagination", "pager", "login", "search", "footer", "masthead", "toolbar", "skip"}
+          "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "pagination", "pager", "login", "search", "footer", "masthead", "toolbar", "skip",
+          "ad-banner", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "ads-container", "banner-ad", "google-ad", "cookie-banner", "cookie-bar", "cookie-notice", "cookie-consent",
+          "consent-banner", "gdpr-banner", "site-footer", "page-footer", "main-footer", "site-nav", "main-nav", "main-menu", "nav-menu", "nav-bar", "primary-nav", "top-nav", "site-navigation",
+          "main-navigation", "post-navigation", "page-navigation", "side-bar", "left-sidebar", "right-sidebar", "sidebar-left", "sidebar-right", "primary-sidebar", "share-buttons", "share-bar",
+          "share-links", "social-share", "social-links", "social-icons", "social-media-links", "sharing-buttons", "related-posts", "related-articles", "related-links", "related-content",
+          "related-stories", "recommended-posts", "recommended-articles", "comment-list", "comment-form", "comments-area", "comments-section", "comment-section", "comment-respond",
+          "disqus-thread", "newsletter-signup", "newsletter-form", "subscribe-form", "subscribe-box", "login-form", "login-box", "search-form", "search-box", "search-bar", "skip-link",
+          "skip-to-content", "skip-nav", "promo-box", "sponsored-content", "sponsored-links"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 
-def _left_out(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
+def _left_out(tag: str, attributes: str) -> bool:
+    """Whether an element's attributes name it furniture: whole class words, or its id, which on a heading is only an anchor."""
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and _NAMES & set(re.split(r"[^a-z0-9]+", value)):
+        if (name == "class" or name == "id" and tag not in _HEADINGS) and not _NAMES.isdisjoint(value.replace("_", "-").split()):
             return True
-        if name == "role" and value in _ROLES or name == "hidden" and m.end() == m.start() + 6 or name == "aria-hidden" and value == "true":
+        if name == "role" and value in _ROLES or name == "hidden" and m.end() == m.end(1) or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[bool]]:
-    """The blocks of text left when furniture is out, and whether each lies in a marked article."""
-    found: list[str] = []
-    inside: list[bool] = []
-    text: list[str] = []
-    article, skipped, depth = 0, "", 0
+def _close(stack: list[int], tags: list[str], opened: Counter, names: set[str], scope: set[str], alone: bool = False) -> None:
+    """End the innermost open element of one of `names` inside the innermost of `scope`, with all that it holds or `alone`."""
+    if not any(opened[name] for name in names):
+        return
+    for k in range(len(stack) - 1, 0, -1):
+        tag = tags[stack[k]]
+        if tag in names:
+            last = k + 1 if alone else len(stack)
+            opened.subtract(tags[e] for e in stack[k:last])
+            del stack[k:last]
+            return
+        if tag in scope:
+            return
 
-    def close() -> None:
-        if text:
-            block = " ".join(html.unescape("".join(text)).split())
-            if block:
-                found.append(block)
-                inside.append(article > 0)
-            text.clear()
 
+def blocks(page: str) -> tuple[list[str], list[bool]]:
+    """The blocks of text left when furniture is out, and whether each lies in a marked article.
+
+    An element that is known as furniture stays if the only articles of the page lie in such elements and it holds the longest.
+    """
+    tags, parents, furniture, articles, lengths = [""], [0], [False], [False], [0]  # the elements; the first one is the page
+    stack, opened = [0], Counter()
+    pieces: list[tuple[int, str | None]] = []  # an element and its text; None parts blocks
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         if not m:  # a tag that never ends
-            at = end
             break
         at = m.end()
         if m[4] is not None:
-            if not skipped:
-                text.append(m[4])
+            pieces.append((stack[-1], m[4]))
+            lengths[stack[-1]] += len(m[4])
             continue
         if not m[2]:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
-        if not closing and tag in _RAW:
+        if closing:
+            _close(stack, tags, opened, {tag}, {"table"} if tag in ("p", "li", "dt", "dd") else set(), tag not in _CLOSERS)
+        elif tag in _RAW:
             stop = re.compile(f"</{tag}[^>]*+>", re.IGNORECASE).search(page, at)
+            if tag == "xmp":
+                text = page[at:stop.start() if stop else end]
+                pieces += [(stack[-1], None), (stack[-1], text.replace("&", "&amp;")), (stack[-1], None)]
+                lengths[stack[-1]] += len(text)
             at = stop.end() if stop else end
             continue
-        if tag in _ARTICLE and not closing and not (skipped and _left_out(m[3])):
-            if skipped and skipped not in ("div", "section", "article"):  # furniture that was never closed
-                skipped, depth = "", 0
-        if skipped:
-            if tag == skipped:
-                depth += -1 if closing else tag not in _VOID and not m[3].endswith("/")
-                if depth == 0:
-                    skipped = ""
-            continue
-        if not closing and tag not in _VOID and (tag in _OUT or tag == "header" and not article or tag not in ("html", "body") and _left_out(m[3])):
-            close()
-            if not m[3].endswith("/"):
-                skipped, depth = tag, 1
-            continue
+        else:
+            if tag in _IMPLIED:
+                _close(stack, tags, opened, *_IMPLIED[tag])
+            if tag == "body":  # an unclosed head
+                _close(stack, tags, opened, {"head"}, set())
+            if tag not in _VOID and not m[3].endswith("/"):
+                up = stack[-1]
+                own = tag in _OUT or tag == "header" and not any(articles[k] for k in stack) or tag not in ("html", "body") and bool(m[3].strip()) and _left_out(tag, m[3])
+                stack.append(len(tags))
+                tags.append(tag)
+                opened[tag] += 1
+                parents.append(up)
+                furniture.append(own)
+                articles.append(tag in _ARTICLE)
+                lengths.append(0)
         if tag in _BLOCK:
-            close()
+            pieces.append((stack[-1], None))
         elif tag in _SPACE:
-            text.append(" ")
-        if tag in _ARTICLE:
-            article = max(0, article - 1) if closing else article + 1
-    close()
+            pieces.append((stack[-1], " "))
+    hidden, inside_of = _standing(parents, furniture, articles, lengths)
+    found: list[str] = []
+    inside: list[bool] = []
+    text: list[str] = []
+    here = False
+    for element, piece in [*pieces, (0, None)]:
+        if piece is not None and hidden[element]:
+            continue
+        if text and (piece is None or inside_of[element] != here):
+            block = " ".join(html.unescape("".join(text)).split())
+            if block:
+                found.append(block)
+                inside.append(here)
+            text.clear()
+        if piece is not None:
+            here = inside_of[element]
+            text.append(piece)
     return found, inside
 
 
+def _standing(parents: list[int], furniture: list[bool], articles: list[bool], lengths: list[int]) -> tuple[list[bool], list[bool]]:
+    """Whether each element is left out, and whether it is in an article."""
+    hidden, inside = furniture.copy(), articles.copy()
+    for k in range(1, len(parents)):  # parents come first
+        hidden[k] = hidden[k] or hidden[parents[k]]
+        inside[k] = inside[k] or inside[parents[k]]
+    own = [k for k in range(len(parents)) if articles[k] and not furniture[k]]
+    if not own or any(not hidden[k] for k in own):
+        return hidden, inside
+    whole = lengths.copy()
+    for k in range(len(parents) - 1, 0, -1):
+        whole[parents[k]] += whole[k]
+    most, freed = max(own, key=lambda k: whole[k]), furniture.copy()
+    k = most
+    while k:
+        freed[k] = False
+        k = parents[k]
+    hidden = freed
+    for k in range(1, len(parents)):
+        hidden[k] = hidden[k] or hidden[parents[k]]
+    return hidden, inside
+
+
 PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))])
 WINDOWS = pa.schema([("window", pa.int64())])
 SUFFIXES = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("content", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])

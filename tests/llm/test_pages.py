@@ -21,3 +21,25 @@ def test_copies_count_as_one_page_and_few_pages_are_no_share(spark):
     out = texts(spark, pages)
     assert all(out[k] == own(0 if k < 5 else k) for k in range(15))
     assert out[20] == f"{own(20)}\n\n{PASSAGE}" and out[29] == own(29)
+
+
+def test_names_are_whole_and_wrappers_of_the_article_stay():
+    text = lambda page: extraction.blocks(page)[0]
+    assert text("<h2 id='related-work'>A</h2><section id='search-methods'>B</section><div class='social-history'>C</div><h3 id='search'>D</h3><p data-id='menu'>E") == ["A", "B", "C", "D", "E"]
+    assert text("<div class='layout no-sidebar'><article>A</article></div>") == text("<div class='has-sidebar'><article>A</article></div>") == ["A"]
+    assert text("<div class='sidebar'><article>A</article></div>") == text("<form><main>A</main></form>") == ["A"]
+    assert text("<div class='sidebar'><article>teaser</article></div><article>A<div class='comments'><article>no</article></div></article>") == ["A"]
+    assert text("<div class='ad cookie-banner'>no</div><div id='disqus_thread'>no</div><p class='x share'>no</p>A") == ["A"]
+
+
+def test_unclosed_furniture_ends_where_html_ends_it():
+    text = lambda page: extraction.blocks(page)[0]
+    assert text("<p class='notice'>no<p>A<p class='notice'>no<div>B</div>C") == ["A", "B", "C"]
+    assert text("<ul><li class='menu'>no<li>A<ul><li class='menu'>no</ul>B</ul>C") == ["A", "B", "C"]
+    assert text("<dl><dt class='ad'>no<dd>A<dt>B</dl><table><tr class='ad'><td>no<tr><td class='ad'>no<td>C</table>D") == ["A", "B", "C", "D"]
+    assert text("<div><p class='notice'>no</div>A<select><option>no</select><p>B") == ["A", "B"]
+
+
+def test_formulas_and_fallbacks_of_an_article_are_text():
+    page = "<article><p>A <math><mi>x</mi><annotation>no</annotation></math> <canvas>B</canvas> <object>C</object></p><xmp><b> &lt;</xmp></article>"
+    assert extraction.blocks(page)[0] == ["A x B C", "<b> &lt;"]
