@@ -7,10 +7,10 @@ one place, so a host is never gathered in one task). A run of `RUN` tokens that
 and on two at least, is boilerplate; pages of equal text are one page there. Every token that such a run covers goes, and the
 others stay, block by block. Where the page marks an article (`article`, `main`), only its blocks are kept of those.
 
-Before suffixes are shuffled, those that cannot be boilerplate are left out. In each 7 neighbouring windows of 6 tokens the
+Before suffixes are shuffled, those that cannot be boilerplate are left out. In each 9 neighbouring windows of 4 tokens the
 one of the least hash is picked, so any two places of one run of 12 tokens have a picked window in common. Picked windows are
-counted, and only suffixes go on whose run holds one that was met twice; a bitmap of 8 MB says so, which may say yes too
-often but never no wrongly.
+counted once a row, and only suffixes go on whose run holds one that enough pages of the host have; a bitmap of 8 MB says so,
+which may say yes too often but never no wrongly. What is enough comes from a table of 2**18 slots, the least of a slot's hosts.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two line feeds. `br` and
 table cells part words, not blocks. Unclosed elements end as HTML has it: with the next sibling, their parent or the page. Null, empty and textless pages have the text "".
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from mailveil.llm import rows, words
 
 RUN, SHARE = 12, 0.3
-PICKED, BITS, SALTS = 6, 26, 16
+PICKED, BITS, SALTS, SLOTS, LEVEL, CUT = 4, 26, 16, 18, 5, 29
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.DOTALL)
 _RAW = {"script", "style", "textarea", "title", "xmp"}
@@ -187,7 +187,7 @@ def _standing(parents: list[int], furniture: list[bool], articles: list[bool], l
 
 PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))])
 WINDOWS = pa.schema([("window", pa.int64())])
-SUFFIXES = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("content", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])
+HELD = pa.schema([*PARSED, ("host", pa.int64()), ("at", pa.list_(pa.int32())), ("leads", pa.list_(pa.int64()))])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -216,43 +216,68 @@ def picked(hashes: np.ndarray, offsets: np.ndarray, host: np.ndarray, run: int,
     return at, values[at]
 
 
-def repeated(parsed: DataFrame, run: int = RUN, share: float = SHARE) -> DataFrame:
-    """row and the first tokens of runs of `run` tokens that lie on `share` of the host's distinct pages, and on two at least."""
-    spark, size = parsed.sparkSession, min(PICKED, run)
+def _hosts(parsed: DataFrame) -> DataFrame:
+    """The parsed pages with a hash of their host and their text in one."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    streams = parsed.where(F.size("blocks") > 0).select("row", F.xxhash64(host).alias("host"), "content", F.array_join("blocks", " ").alias("text"))
-    as_hash = lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64)
+    return parsed.withColumns({"host": F.xxhash64(host), "text": F.array_join("blocks", " ")})
 
-    def windows(host, text):
-        hashes, offsets = words.word_hashes(text, words.SPACED)
-        return {"window": picked(hashes, offsets, as_hash(host), run, size)[1].view(np.int64)}
 
-    twice = rows.per_batch(streams.select("host", "text"), WINDOWS, windows).groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-    maybe = spark.sparkContext.broadcast(rows.bitmap(spark, twice, "window", BITS))
-    rows.release(spark)
+def _as_hash(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def least_pages(streams: DataFrame, share: float) -> DataFrame:
+    """host and least: on how many of its distinct pages boilerplate lies."""
+    distinct = streams.where(F.size("blocks") > 0).select("host", "content").distinct()
+    return distinct.groupBy("host").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * F.lit(share))).alias("least"))
+
 
-    def work(row, host, content, text):
+def met_often(streams: DataFrame, least: DataFrame, run: int) -> np.ndarray:
+    """A bitmap of the picked windows that enough rows of a host hold; 35 bits of a hash tell them apart, and equal ones add up."""
+    level = F.floor(F.log2(F.min("least").cast("double")) + 1e-9).cast("int")
+    slots = least.groupBy(F.col("host").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("slot")).agg(level.alias("level")).toPandas()  # 2**SLOTS rows at most
+    levels = np.ones(1 << SLOTS, np.uint64)
+    levels[slots["slot"].to_numpy(np.int64)] = np.minimum(slots["level"].to_numpy(np.int64), (1 << LEVEL) - 1)
+    levels = streams.sparkSession.sparkContext.broadcast(levels)
+
+    def work(host, text):
         hashes, offsets = words.word_hashes(text, words.SPACED)
-        of_text = as_hash(host)
-        at, values = picked(hashes, offsets, of_text, run, size)
-        hot = np.zeros(len(hashes) + 1, np.int64)
-        hot[at[rows.maybe_in(maybe.value, values)] + 1] = 1
-        hot = np.cumsum(hot)
-        at = np.flatnonzero(words.within(offsets, run))
-        at = at[hot[at + run - size + 1] > hot[at]]
+        at, values = picked(hashes, offsets, _as_hash(host), run, min(PICKED, run))
         owner = np.searchsorted(offsets, at, "right") - 1
-        lead = words.mix(words.window_hashes(hashes, run)[at] ^ of_text[owner]) if len(at) else np.zeros(0, np.uint64)
-        take = pa.array(owner)
-        return {"row": row.take(take), "host": host.take(take), "content": content.take(take), "pos": (at - offsets[owner]).astype(np.int32), "lead": lead.view(np.int64)}
-
-    suffixes = rows.stage(rows.per_batch(streams, SUFFIXES, work))
-    least = streams.select("host", "content").distinct().groupBy("host").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * F.lit(share))).alias("least"))
-    lying = suffixes.select("host", "lead", "content").distinct().groupBy("host", "lead").agg(F.count("*").alias("n")).where("n > 1")
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        first = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]) if len(values) else np.zeros(0, bool)
+        level = levels.value[_as_hash(host)[owner] & np.uint64((1 << SLOTS) - 1)]
+        return {"window": (values >> np.uint64(CUT) << np.uint64(LEVEL) | level)[first].view(np.int64)}
+
+    windows = rows.per_batch(streams.select("host", "text"), WINDOWS, work).groupBy("window").agg(F.count("*").alias("n"))
+    often = windows.where(F.expr(f"n >= shiftleft(1L, cast(window & {(1 << LEVEL) - 1} as int))"))
+    return rows.bitmap(streams.sparkSession, often.select(F.shiftrightunsigned("window", LEVEL).alias("window")), "window", BITS)
+
+
+def suffixes(host: np.ndarray, text: pa.Array, maybe: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first token and leading tokens' hash of each suffix whose run may be on enough pages of the host."""
+    size = min(PICKED, run)
+    hashes, offsets = words.word_hashes(text, words.SPACED)
+    at, values = picked(hashes, offsets, host, run, size)
+    hot = np.zeros(len(hashes) + 1, np.int64)
+    hot[at[rows.maybe_in(maybe, values >> np.uint64(CUT))] + 1] = 1
+    hot = np.cumsum(hot)
+    at = np.flatnonzero(words.within(offsets, run))
+    at = at[hot[at + run - size + 1] > hot[at]]
+    owner = np.searchsorted(offsets, at, "right") - 1
+    lead = words.mix(words.window_hashes(hashes, run)[at] ^ host[owner]) if len(at) else np.zeros(0, np.uint64)
+    return owner, at - offsets[owner], lead
+
+
+def repeated(held: DataFrame, least: DataFrame) -> DataFrame:
+    """row and the first tokens of runs that lie on `least` of the host's distinct pages."""
+    found = held.select("row", "host", "content", F.explode(F.arrays_zip("at", "leads")).alias("x")).select("row", "host", "content", F.col("x.at").alias("pos"), F.col("x.leads").alias("lead"))
+    lying = found.select("host", "lead", "content").distinct().groupBy("host", "lead").agg(F.count("*").alias("n")).where("n > 1")
     # A passage on every page of a large host has few leads with many rows: hosts and leads are dealt to several tasks each.
     salt, salts = lambda key: F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     shared = lying.select("*", salt("lead")).join(least.select("*", salts), ["host", "salt"]).where(F.col("n") >= F.col("least")).select("lead", salts)
-    found = suffixes.select("row", "pos", "lead", salt("row")).join(shared, ["lead", "salt"])
-    return found.groupBy("row").agg(F.collect_list("pos").alias("covered"))
+    return found.select("row", "pos", "lead", salt("row")).join(shared, ["lead", "salt"]).groupBy("row").agg(F.collect_list("pos").alias("covered"))
 
 
 def unique_text(found: list[str], inside: list[bool], covered: np.ndarray, run: int = RUN) -> list[str]:
@@ -276,14 +301,35 @@ def unique_text(found: list[str], inside: list[bool], covered: np.ndarray, run:
 def main_text(pages: DataFrame, run: int = RUN, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars for every row of `pages`."""
     parsed = rows.stage(parse(pages))
-
-    def work(page_id, url, found, inside, covered):
-        texts = []
-        for b, i, c in zip(found.to_pylist(), inside.to_pylist(), covered.to_pylist(), strict=True):
-            texts.append("\n\n".join(unique_text(b, i, np.array(c or [], np.int64), run)))
-        return {"page_id": page_id, "url": url, "text": texts, "n_chars": [len(t) for t in texts]}
-
-    return rows.per_batch(parsed.join(repeated(parsed, run, share), "row", "left").select("page_id", "url", "blocks", "inside", "covered"), TEXTS, work)
+    streams = _hosts(parsed)
+    least = least_pages(streams, share)
+    maybe = parsed.sparkSession.sparkContext.broadcast(met_often(streams, least, run))
+    rows.release(parsed.sparkSession)
+
+    def texts(page_id, url, found, inside, covered):
+        out = []
+        for b, i, c in zip(found.to_pylist(), inside.to_pylist(), covered, strict=True):
+            out.append("\n\n".join(unique_text(b, i, np.array(c or [], np.int64), run)))
+        return {"page_id": page_id, "url": url, "text": out, "n_chars": [len(t) for t in out]}
+
+    def holding(row, page_id, url, content, found, inside, host, text):
+        owner, at, lead = suffixes(_as_hash(host), text, maybe.value, run)
+        kept, counts = np.unique(owner, return_counts=True)
+        ends, take = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(kept, pa.int64())
+        own = {f.name: column.take(take) for f, column in zip([*PARSED, HELD.field("host")], (row, page_id, url, content, found, inside, host), strict=True)}
+        return own | {"at": pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), "leads": pa.ListArray.from_arrays(ends, pa.array(lead.view(np.int64)))}
+
+    def others(page_id, url, found, inside, host, text):
+        free = np.ones(len(host), bool)
+        free[suffixes(_as_hash(host), text, maybe.value, run)[0]] = False
+        take = pa.array(np.flatnonzero(free))
+        return texts(page_id.take(take), url.take(take), found.take(take), inside.take(take), [None] * len(take))
+
+    # Only pages with suffixes that may be repeated are shuffled.
+    held = rows.stage(rows.per_batch(streams.select(*PARSED.names, "host", "text"), HELD, holding))
+    marked = held.join(repeated(held, least), "row", "left").select("page_id", "url", "blocks", "inside", "covered")
+    rest = rows.per_batch(streams.select("page_id", "url", "blocks", "inside", "host", "text"), TEXTS, others)
+    return rest.unionByName(rows.per_batch(marked, TEXTS, lambda *columns: texts(*columns[:-1], columns[-1].to_pylist())))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
