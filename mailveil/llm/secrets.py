@@ -2,7 +2,7 @@
 
 A base set of spans comes from three fixed patterns (assignments to sensitive names, access key ids, long hexadecimal runs).
 The lexer then reads source and configuration syntax: `name = literal`, `name: literal`, `"name": "literal"`, `name := x`,
-`name => x`, with quoted or bare literals, names as values and sums of both. Names bound to literals earlier in the text are
+`name => x`, `name: type = x`, `table["name"] = x` and `<name>literal</name>`, with quoted or bare literals, names as values and sums of both. Names bound to literals earlier in the text are
 constants, and a target that receives a constant receives its literals. A literal is scored by how sensitive the target's
 name is times how much it looks like a key; those of at least `LEAST` are added as spans of kind `literal`, unless a base
 span covers them already. Offsets count code points, ends are exclusive.
@@ -32,7 +32,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: A name, an operator, and the first term of a value; only at the start of a name, so that the scan stays linear.
-_TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
+_TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*+)(?:["'](?:[ \t]*+\])?)?+[ \t]*+(?::[ \t]*+&?(?:'static[ \t]++)?([A-Za-z_][\w.]*+)((?:\[[^\]\n="']{0,80}\]|<[^>\n="']{0,80}>)?+\??+(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+)[ \t]*+=(?![=>])|:=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
+#: An element of a configuration file that holds nothing but a text.
+_ELEMENT = re.compile(r"""<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>\s*+(?:<!\[CDATA\[\s*+)?([^<>\s]+?)\s*+(?:\]\]>\s*+)?</\1\s*+>""")
+#: Names of types, which are no constants: any other word between ":" and "=" may be a target itself, as in `note: key = literal`.
+_TYPES = {"any", "auto", "bytes", "char", "final", "object", "str", "string", "text", "varchar"}
 _TERM = re.compile(r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s,;#"'(){}\[\]<>+]++))(?:[ \t]*+(\+)[ \t]*+)?""")
 
 #: How sensitive a part of a name is.
@@ -76,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of the literals that reach a sensitive name, directly or through constants."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     bound: dict[str, frozenset[tuple[int, int]]] = {}
     found = set()
@@ -91,9 +95,14 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             at, more = t.end(), t[4] is not None
         if not literals:
             continue
-        bound[m[1]] = frozenset(literals)
-        if weight := sensitivity(m[1]):
-            found.update((a, b) for a, b in literals if weight * strength(text[a:b]) >= LEAST)
+        for name in (m[1], m[2]) if m[2] and not m[3] and m[2].lower() not in _TYPES else (m[1],):
+            bound[name] = frozenset(literals)
+            if weight := sensitivity(name):
+                found.update((a, b) for a, b in literals if weight * strength(text[a:b]) >= LEAST)
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            if (weight := sensitivity(m[1])) and weight * strength(m[2]) >= LEAST:
+                found.add((m.start(2), m.end(2)))
     return sorted(found)
 
 
