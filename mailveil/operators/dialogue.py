@@ -27,7 +27,7 @@ def cut_text(df: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 
 def stream_lines(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of chunked streams: number, byte offset, text, and whether a newline ended it.
+    """Lines of chunked streams: number, byte offset, text, whether a newline ended it, and the bytes it takes with its end.
 
     Input rows are (keys…, chunk, off, text). A chunk yields its pieces; the newline count
     before each chunk numbers them; pieces of a line that crosses a border meet by number.
@@ -47,8 +47,10 @@ def stream_lines(chunks: DataFrame, keys: list[str]) -> DataFrame:
         ends.alias("_end"))
     text = F.array_join(F.transform("_parts", lambda p: p["piece"]), "")
     last = placed.groupBy(*keys).agg(F.max("line_no").alias("_last"))
-    return (lines.join(last, keys).select(
-        *keys, "line_no", "off", F.regexp_replace(text, "\r+$", "").alias("line"), (F.col("line_no") < F.col("_last")).alias("complete"))
+    complete = F.col("line_no") < F.col("_last")
+    return (lines.join(last, keys).withColumn("_raw", text).select(
+        *keys, "line_no", "off", F.regexp_replace("_raw", r"\r+\z", "").alias("line"), complete.alias("complete"),
+        (F.length("_raw") + complete.cast("int")).cast("bigint").alias("size"))
         .where(F.col("complete") | (F.col("line") != "")))
 
 
