@@ -59,8 +59,6 @@ class Kind:
     server: str
     fill: str = ""
     meant: dict | None = None
-    rules: str = ""
-    note: str = ""
 
 
 def _meant(protocol: str, **more) -> dict:
@@ -104,6 +102,13 @@ KINDS = [
 ]
 
 
+#: What the rules say of each kind: (kind, rule, severity, from how many fills on).
+FINDINGS = [(0, "DATA-001", "high", 0), (0, "PLAIN-002", "medium", 0), (2, "CRED-001", "critical", 0), (2, "DATA-001", "high", 0), (2, "PLAIN-001", "high", 0), (2, "PORT-001", "low", 0),
+            (3, "CRED-001", "critical", 0), (3, "DATA-001", "high", 0), (3, "STRIP-001", "critical", 0), (4, "INJ-001", "critical", 1), (5, "CRED-001", "critical", 0), (5, "DATA-001", "high", 1),
+            (5, "STRIP-001", "critical", 0), (6, "CRED-001", "critical", 0), (6, "STRIP-001", "critical", 0), (7, "CRED-001", "critical", 0), (7, "DATA-001", "high", 0), (7, "PLAIN-002", "medium", 0),
+            (10, "DATA-001", "high", 0), (10, "PLAIN-003", "medium", 0), (10, "PORT-001", "low", 0)]
+
+
 def _hex(text: str) -> str:
     return text.encode("latin-1").hex().upper()
 

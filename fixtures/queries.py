@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fixtures import mail
 from mailveil.plans import views
-from mailveil.plans.mail import MailTraffic
+from mailveil.plans.mail import MailAnalysis, MailTraffic
 from mailveil.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,7 @@ def query(build):
     return build
 
 
+@lru_cache(maxsize=4)
 def traffic(spark: SparkSession, d: str) -> MailTraffic:
     segments = views.view(spark, d, "v_mail_segments").withColumn("payload", F.unhex("payload_hex")).drop("payload_hex", "from_client")
     return MailTraffic(cut_lineage(segments), CHUNK)
@@ -54,6 +56,51 @@ def mail_flow_totals(spark, d):
     return traffic(spark, d).totals
 
 
+CERTIFICATES = [(b"leaf", "CN=mx.example.org", "CN=top", False, "RSA", 2048, "mx.example.org"), (b"top", "CN=top", "CN=top", True, "RSA", 2048, "")]
+
+
+@lru_cache(maxsize=4)
+def analysis(spark: SparkSession, d: str) -> MailAnalysis:
+    facts = [(hashlib.sha256(der).hexdigest(), subject, issuer, own, kind, bits, "sha256", [names] if names else [], own, True, True, ["digital_signature"], None, 0, 1_200_000_000, True) for der, subject, issuer, own, kind, bits, names in CERTIFICATES]
+    known = spark.createDataFrame(facts, "sha256 string, subject string, issuer string, self_signed boolean, key_type string, key_bits int, signature_hash string, sans array<string>, is_ca boolean, eku_server_auth boolean, has_sct boolean, key_usage array<string>, der_error string, not_before long, not_after long, signed_by_next boolean")
+    anchors = spark.createDataFrame([("CN=top",)], "subject string")
+    return MailAnalysis(traffic(spark, d), known, anchors, spark.createDataFrame([("default", 1.0)], "asset string, weight double"))
+
+
+@query
+def mail_handshakes(spark, d):
+    t = traffic(spark, d)
+    return t.handshakes.select("capture_id", "session_id", "client_hello_seen", "server_hello_seen", "version", "cipher_suite", "sni", _text("alpn", ","), F.array_join(F.col("signature_algorithms").cast("array<string>"), ",").alias("signature_algorithms"),
+                               "hello_retry", _text("errors"), "complete", "secure_renegotiation", "extended_master_secret")
+
+
+@query
+def mail_message_order(spark, d):
+    return traffic(spark, d).message_order.select("capture_id", "session_id", "dir", _text("flow", " > "))
+
+
+@query
+def mail_certificates(spark, d):
+    return traffic(spark, d).certificates.select("capture_id", "session_id", F.col("position").cast("bigint").alias("position"), "sha256")
+
+
+@query
+def mail_findings(spark, d):
+    return analysis(spark, d).findings.select("capture_id", "session_id", "endpoint", "rule_id", "severity")
+
+
+@query
+def mail_posture(spark, d):
+    """Grade and score of every capture, from its packets, after baseline and escalation."""
+    return analysis(spark, d).posture
+
+
+@query
+def mail_priorities(spark, d):
+    """All findings ranked within their capture; session ids are texts to the end."""
+    return analysis(spark, d).ranked.select("capture_id", "priority", "session_id", "rule_id", "severity", "risk")
+
+
 # --------------------------------------------------------------------------- reference SQL
 def _value(value) -> str:
     return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
@@ -94,4 +141,11 @@ SQL = {
     "mail_unclassified_flows": views.with_clause(["v_mail"]) + f""" SELECT capture_id, concat(client_ip, ':', client_port) AS client, concat(server_ip, ':', server_port) AS server, length(client_hex) // 2 AS client_bytes, length(server_hex) // 2 AS server_bytes,
   cast(2 + ceil(length(client_hex) / {2 * mail.SEGMENT}.0) + ceil(length(server_hex) / {2 * mail.SEGMENT}.0) + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS bigint) AS frames, 'no known mail protocol on either side' AS reason FROM v_mail WHERE kind = 12""",
     "mail_flow_totals": views.with_clause(["v_mail"]) + f" SELECT capture_id, count(*) AS flows, count(*) FILTER (WHERE kind IN ({MAIL_KINDS})) AS mail_sessions, count(*) FILTER (WHERE kind NOT IN ({MAIL_KINDS})) AS non_mail_flows FROM v_mail GROUP BY capture_id",
+    "mail_handshakes": SESSIONS + """ SELECT capture_id, session_id, true AS client_hello_seen, true AS server_hello_seen, 771::bigint AS version, 49199::bigint AS cipher_suite, 'mx.example.org' AS sni, 'smtp' AS alpn, '1027' AS signature_algorithms,
+  false AS hello_retry, '' AS errors, kind <> 4 AS complete, true AS secure_renegotiation, true AS extended_master_secret FROM named WHERE kind IN (1, 4, 8, 9)""",
+    "mail_message_order": SESSIONS + """ SELECT capture_id, session_id, dir, concat(CASE dir WHEN 'C' THEN 'ClientHello' ELSE 'ServerHello > Certificate' END, CASE WHEN kind <> 4 THEN concat(' > ChangeCipherSpec > encrypted records ×',
+  CASE kind WHEN 1 THEN CASE dir WHEN 'C' THEN 3 ELSE 2 END WHEN 8 THEN 1 ELSE 2 END) ELSE '' END) AS flow FROM named, (VALUES ('C'), ('S')) AS t(dir) WHERE kind IN (1, 4, 8, 9)""",
+    "mail_certificates": SESSIONS + """ SELECT capture_id, session_id, position::bigint AS position, sha256(name) AS sha256 FROM named, (VALUES (0, 'leaf'), (1, 'top')) AS t(position, name) WHERE kind IN (1, 4, 8, 9)""",
+    "mail_findings": SESSIONS + f""", hits(kind, rule_id, severity, least_n) AS (VALUES {", ".join(f"({kind}, '{rule}', '{level}', {least})" for kind, rule, level, least in mail.FINDINGS)})
+SELECT capture_id, session_id, concat(coalesce({_by_kind('server_name', _quoted)}, server_ip), ':', server_port) AS endpoint, rule_id, severity FROM named JOIN hits USING (kind) WHERE n >= least_n""",
 }
