@@ -126,8 +126,30 @@ def place(segments: DataFrame, stream: list[str] = STREAM) -> DataFrame:
     # only streams whose handshake was not captured need this pass
     bases = segments.where("isn IS NULL").groupBy(*stream).agg(lowest.alias("_lowest"))
     base = F.when(F.col("isn").isNotNull(), F.pmod(F.col("isn") + 1, F.lit(MOD32))).otherwise(F.col("_lowest"))
-    return (segments.join(bases, stream, "left").withColumn("off", rel_seq(F.col("seq"), base))
-            .withColumn("len", F.length("payload").cast("bigint")).drop("isn", "_lowest"))
+    near = (segments.join(bases, stream, "left").withColumn("off", rel_seq(F.col("seq"), base))
+            .withColumn("len", F.length("payload").cast("bigint")).drop("_lowest"))
+    # signed distances are the offsets as long as none is far out; streams with one are few, and often there is none
+    far = near.groupBy(*stream).agg(F.max(F.abs("off")).alias("_far")).where(F.col("_far") >= MOD32 // 4).select(*stream)
+    if far.isEmpty():
+        return near.drop("isn")
+    return near.join(far, stream, "left_anti").drop("isn").unionByName(_unwrapped(near.join(far, stream, "left_semi"), stream))
+
+
+def _unwrapped(rows: DataFrame, stream: list[str]) -> DataFrame:
+    """Offsets past the 32 bits of sequence numbers: the sum of the signed steps from one segment to the next that arrived.
+
+    A step back or forth is below 2**31 bytes, however far the stream has come, so the sum counts every wrap. Both scans run in
+    chunks of arrival time. Without an initial sequence number the lowest offset is 0.
+    """
+    order = ["ts", "frame"]
+    timed = rows.withColumn("_second", F.floor(F.col("ts")).cast("bigint"))
+    stepped = preceding(timed, stream, order, "_second", last={"_before": F.col("seq")})
+    step = F.when(F.col("_before").isNull(), F.col("off")).otherwise(rel_seq(F.col("seq"), F.col("_before")))
+    summed = preceding(stepped.withColumn("_step", step), stream, order, "_second", sums={"_sum": F.col("_step")})
+    placed = summed.withColumn("off", (F.col("_sum") + F.col("_step")).cast("bigint"))
+    lowest = placed.where("isn IS NULL").groupBy(*stream).agg(F.min("off").alias("_lowest"))
+    return (placed.join(lowest, stream, "left").withColumn("off", F.col("off") - F.coalesce("_lowest", F.lit(0)))
+            .drop("isn", "_second", "_before", "_step", "_sum", "_lowest"))
 
 
 def _heads(placed: DataFrame, stream: list[str]) -> DataFrame:

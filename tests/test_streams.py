@@ -132,3 +132,23 @@ def test_wall_clock_shows_milliseconds(spark):
     from mailveil.operators import packets
     rows = spark.createDataFrame([("c", 0.0), ("c", 90000.25)], "capture_id string, ts double")
     assert [r.time_text for r in packets.with_times(rows).orderBy("ts").collect()] == ["00:00:00.000", "01:00:00.250"]
+
+
+def test_offsets_past_32_bits(spark):
+    gap = (1 << 31) - 1000
+    for isn in (100, 4294967290, None):
+        first = 101 if isn is None else (isn + 1) % (1 << 32)
+        # in order, then one that comes late, then on past the second wrap
+        wanted = [0, gap, 2 * gap, 2 * gap - 50, 3 * gap, 4 * gap + 7, 4 * gap + 3, 5 * gap]
+        rows = [((first + off) % (1 << 32), b"abcd") for off in wanted]
+        placed = flows.place(segs(spark, rows, isn).repartition(3), STREAM)
+        assert [r.off for r in placed.orderBy("frame").collect()] == wanted and max(wanted) > 1 << 33
+        kept = flows.surviving_spans(placed, STREAM)
+        assert [(r.start, r.kept) for r in kept.where("NOT covered").orderBy("start").collect()] == sorted([(o, 4) for o in wanted if o != 4 * gap + 7] + [(4 * gap + 7, 4)])
+
+
+def test_unwrapping_leaves_short_streams_alone(spark):
+    short = segs(spark, [(107, b"world"), (101, b"hello "), (99, b"x")])
+    long_ = segs(spark, [(107, b"a"), (107 + (1 << 30), b"b")]).withColumn("s", F.lit("b"))
+    both = flows.place(short.unionByName(long_), STREAM)
+    assert sorted((r.s, r.off) for r in both.collect()) == [("a", -2), ("a", 0), ("a", 6), ("b", 6), ("b", 6 + (1 << 30))]
