@@ -84,6 +84,16 @@ def mail_certificates(spark, d):
     return traffic(spark, d).certificates.select("capture_id", "session_id", F.col("position").cast("bigint").alias("position"), "sha256")
 
 
+@query
+def mail_transcript(spark, d):
+    return traffic(spark, d).transcript.select("capture_id", "session_id", "ordinal", "dir", "kind", "text", "lo", "hi")
+
+
+@query
+def mail_transcript_frames(spark, d):
+    return traffic(spark, d).transcript_frames
+
+
 @query
 def mail_findings(spark, d):
     return analysis(spark, d).findings.select("capture_id", "session_id", "endpoint", "rule_id", "severity")

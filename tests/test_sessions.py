@@ -6,17 +6,20 @@ import re
 
 import pytest
 
-from mailveil.operators import dialogue, sessions
+from mailveil.operators import dialogue, sessions, transcript
+from mailveil.session import cut_lineage
 
 TLS = b"\x16\x03\x01\x00\x04abcd"
 
 
-def read(spark, flows, chunk=16):
-    """Session rows by flow id; flows are (id, server port, client bytes, server bytes)."""
+CHUNK = 16
+
+
+def read(spark, flows):
+    """The dialogues of flows (id, server port, client bytes, server bytes)."""
     texts = [(k, d, t.decode("latin-1")) for k, _, c, s in flows for d, t in (("C", c), ("S", s))]
-    chunks = dialogue.cut_text(spark.createDataFrame(texts, "flow_id string, dir string, text string"), ["flow_id", "dir"], chunk)
-    ports = spark.createDataFrame([(k, p) for k, p, _, _ in flows], "flow_id string, server_port int")
-    return {r["flow_id"]: r for r in sessions.facts(sessions.read(chunks, ports, chunk)).collect()}
+    chunks = dialogue.cut_text(spark.createDataFrame(texts, "flow_id string, dir string, text string"), ["flow_id", "dir"], CHUNK)
+    return sessions.read(chunks, spark.createDataFrame([(k, p) for k, p, _, _ in flows], "flow_id string, server_port int"), CHUNK)
 
 
 def crlf(*lines):
@@ -27,10 +30,9 @@ def b64(text):
     return base64.b64encode(text.encode()).decode()
 
 
-@pytest.fixture(scope="module")
-def hand(spark):
+def hand_made():
     imap_big = b"x" * 300
-    return read(spark, [
+    return [
         ("relay", 25, crlf("EHLO c", "MAIL FROM:<a>", "RCPT TO:<b>", "DATA", "Subject: DATA", "", "DATA", "..", ".", "QUIT", "NOOP"),
          crlf("220 mx.example.org hi", "250-mx", "250-SIZE 10", "250 starttls", "250 ok", "250 ok", "354 go", "250 queued", "221 bye", "250 no")),
         ("refused", 25, crlf("EHLO c", *["DATA"] * 40, "RSET", "DATA", "one", ".", "AUTH LOGIN", b64("ann"), b64("pw"), "QUIT"),
@@ -60,7 +62,7 @@ def hand(spark):
         ("pop auth", 8110, crlf("AUTH", "AUTH PLAIN", b64("\0bob\0pw"), "APOP cat 00", "STLS", "PASS"), crlf("+OK", "+OK", "PLAIN", ".", "+ ", "-ERR", "+OK", "-ERR no", "+OK")),
         ("pop cut", 110, crlf("CAPA", "RETR 1"), crlf("+OK", "-ERR", "+OK", "body", "more") + b"unfinished"),
         ("pop tls", 110, crlf("CAPA", "STLS") + TLS, crlf("+OK", "+OK", "STLS", ".", "+OK go") + TLS),
-    ])
+    ]
 
 
 def test_smtp_bodies(hand):
@@ -269,7 +271,7 @@ def dialogue_of(rng, protocol):
     return side(lines[0], "", 14), side(lines[1], hello, 14)
 
 
-def test_random_dialogues_equal_a_plain_reader(spark):
+def random_flows():
     rng = random.Random(11)
     flows = []
     for k in range(900):
@@ -278,8 +280,31 @@ def test_random_dialogues_equal_a_plain_reader(spark):
         if protocol == "SMTP" and k % 9 == 0:
             c, s = "EHLO c\r\nRSET\r\n" + c, ""
         flows.append((f"{protocol} {k}", {"SMTP": 25, "POP3": 110, "IMAP": 143}[protocol], c.encode("latin-1"), s.encode("latin-1")))
-    got, wrong = read(spark, flows, 32), []
-    for name, _, c, s in flows:
+    return flows
+
+
+REPLAYS = {
+    "r smtp": (25, crlf("EHLO c", "AUTH LOGIN", b64("ann"), b64("pw"), "DATA", "private", ".", "STARTTLS", "RSET") + TLS,
+               crlf("220 hi", "250-x", "250 STARTTLS", "334 u", "334 p", "235 in", "354 go", "250 kept", "220 go") + TLS),
+    "r imap": (143, crlf("a1 LOGIN u p", "a2 FETCH 1", "a3 AUTHENTICATE PLAIN", b64("x")), crlf("* OK hi", "a1 OK", *[f"* {k}" for k in range(6)], "* 7 FETCH {3}") + b"abc" + crlf(")", "a2 OK", "+ ", "a3 NO")),
+    "r pop": (110, crlf("PASS pw", "RETR 1"), crlf("+OK hi", "+OK in", "+OK message", "x", ".")),
+}
+
+
+@pytest.fixture(scope="module")
+def everything(spark):
+    """Every dialogue of this module in one reading, staged."""
+    return read(spark, hand_made() + random_flows() + [(k, *v) for k, v in REPLAYS.items()])
+
+
+@pytest.fixture(scope="module")
+def hand(everything):
+    return {r["flow_id"]: r for r in sessions.facts(everything).collect()}
+
+
+def test_random_dialogues_equal_a_plain_reader(hand):
+    got, wrong = {k: r for k, r in hand.items() if k[0] in "SPI" and k[-1].isdigit()}, []
+    for name, _, c, s in random_flows():
         out = {"commands": [], "auth": [], "bytes": 0, "starts": None}
         {"S": plain_smtp, "P": plain_pop3, "I": plain_imap}[name[0]](Side(c.decode("latin-1")), Side(s.decode("latin-1")), out)
         r = got.get(name)
@@ -289,3 +314,34 @@ def test_random_dialogues_equal_a_plain_reader(spark):
         if mine != (out["commands"], out["auth"], out["bytes"], out["starts"] is not None):
             wrong.append((name, c, s, mine, out))
     assert len(got) > 850 and not wrong, (len(wrong), wrong[:2])
+
+
+@pytest.fixture(scope="module")
+def replays(everything):
+    rows = transcript.entries(everything, everything.asked, everything.moved).where("flow_id LIKE 'r %'")
+    return cut_lineage(rows)
+
+
+def test_transcript_tiles_both_streams_and_hides_secrets(spark, replays):
+    _, c, s = REPLAYS["r smtp"]
+    rows = replays.where("flow_id = 'r smtp'")
+    got = [(r.dir, r.kind, r.text) for r in rows.orderBy("ordinal").collect()]
+    assert got == [("S", "banner", "220 hi"), ("C", "cmd", "EHLO c"), ("S", "caps", "250 x"), ("C", "auth", "AUTH LOGIN"), ("S", "reply", "334 u"), ("C", "auth", "[secret]"), ("S", "reply", "334 p"), ("C", "auth", "[secret]"),
+                   ("S", "reply", "235 in"), ("C", "cmd", "DATA"), ("S", "reply", "354 go"), ("C", "data", "[message: 12 bytes, not kept]"), ("S", "reply", "250 kept"), ("C", "starttls", "STARTTLS"), ("S", "starttls", "220 go"),
+                   ("C", "inject", "RSET (6 bytes of cleartext before TLS)")]
+    for side, text in (("C", c), ("S", s)):
+        mine = [(r.lo, r.hi) for r in rows.where(f"dir = '{side}'").orderBy("ordinal").collect()]
+        assert mine[0][0] == 0 and all(a[1] == b[0] for a, b in zip(mine, mine[1:])) and mine[-1][1] == text.index(TLS)
+    spans = spark.createDataFrame([("r smtp", "C", k * 5, 5, 100 + k) for k in range(20)] + [("r smtp", "S", 0, 1000, 9)], "flow_id string, dir string, span_off long, span_len long, frame long")
+    found = {(r.ordinal, r.dir, r.frame) for r in transcript.frames(rows, spans, 16).collect()}
+    want = {(r.ordinal, r.dir, f) for r in rows.collect() for f, a, b in ([(100 + k, k * 5, k * 5 + 5) for k in range(20)] if r.dir == "C" else [(9, 0, 1000)]) if a < r.hi and b > r.lo}
+    assert found == want
+
+
+def test_transcript_of_imap_and_pop3(replays):
+    rows = replays.where("flow_id = 'r imap'")
+    assert [(r.dir, r.text) for r in rows.orderBy("ordinal").collect()] == [("S", "* OK hi"), ("C", "a1 LOGIN u [secret]"), ("S", "a1 OK"), ("C", "a2 FETCH 1"), ("S", "* 0"), ("S", "* 1"), ("S", "* 2"), ("S", "* 3"), ("S", "a2 OK"),
+                                                                            ("C", "a3 AUTHENTICATE PLAIN"), ("S", "+ "), ("C", "[secret]"), ("S", "a3 NO")]
+    rows = replays.where("flow_id = 'r pop'")
+    assert [(r.dir, r.kind, r.text) for r in rows.orderBy("ordinal").collect()] == [("S", "banner", "+OK hi"), ("C", "auth", "PASS [secret]"), ("S", "reply", "+OK in"), ("C", "cmd", "RETR 1"),
+                                                                                    ("S", "data", "+OK message  [message: 6 bytes, not kept]")]
