@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailveil import dims
 from mailveil.functions import text as tx
-from mailveil.operators import baseline, certificates, dialogue, flows, handshake, imap, models, packets, rules, scoring, smtp
+from mailveil.operators import baseline, certificates, contributions, dialogue, flows, handshake, imap, models, packets, rules, scoring, smtp
 from mailveil.operators.ordered import number_rows
 from mailveil.plans import reports, views
 from mailveil.plans.corpus import AS_OF, Analysis, Streams, history_and_current
@@ -721,6 +721,25 @@ def risk_model_predictions(spark, d):
     return models.predict_risk(model, rows).select("capture_id", "session_id", "split", "rule_risk", "model_risk")
 
 
+@query
+def risk_model_explanations(spark, d):
+    """What each group of features adds to the fitted model's risk; only groups that add something."""
+    rows = _labelled(spark, d).withColumn("split", models.split_of(F.col("capture_id")))
+    told = contributions.contributions(models.train_risk(rows.where("split = 'train'")), rows)
+    return told.where(F.abs("phi") >= 0.05).select("capture_id", "session_id", "feature_group", F.round("phi", 1).alias("phi"))
+
+
+@query
+def risk_explanation_sums(spark, d):
+    """Per split: sessions explained, and whether all their groups' values add up to the model's risk minus the reference's."""
+    rows = _labelled(spark, d).withColumn("split", models.split_of(F.col("capture_id")))
+    model = models.train_risk(rows.where("split = 'train'"))
+    told = contributions.contributions(model, rows).groupBy("capture_id", "session_id").agg(F.sum("phi").alias("total"), F.max("risk").alias("risk"), F.max("reference_risk").alias("base"), F.count("*").alias("groups"))
+    said = models.predict_risk(model, rows, None).select("capture_id", "session_id", "split", "model_risk")
+    near = (F.abs(F.col("total") - (F.col("model_risk") - F.col("base"))) < 1e-6) & (F.abs(F.col("risk") - F.col("model_risk")) < 1e-6) & (F.col("groups") == len(dims.FEATURE_GROUPS))
+    return said.join(told, ["capture_id", "session_id"], "left").groupBy("split").agg(F.count("*").alias("sessions"), F.count_if(F.coalesce(near, F.lit(False))).alias("exact"))
+
+
 @query
 def isolation_forest_outliers(spark, d):
     rows = cut_lineage(Analysis(spark, d, staged=True).features)

