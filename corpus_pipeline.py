@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailveil.llm import bpe, decontaminate, jaccard, rows, secrets, toxicity
 
@@ -25,10 +26,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item."""
-    judged = decontaminate.contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
-    leaks = rows.stage(judged.where("contaminated").select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drop the rows whose text holds a window of a benchmark item; rows are told apart by number, as ids may be null or repeat."""
+    number = "row" + "_" * max(len(name) for name in docs.columns)
+    numbered = rows.stage(docs.withColumn(number, F.monotonically_increasing_id()))
+    judged = decontaminate.contamination(numbered.select(F.col(number).alias("doc_id"), "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    leaks = rows.stage(judged.where("contaminated").select(F.col("doc_id").alias(number)))
+    return numbered.join(leaks, number, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
