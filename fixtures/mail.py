@@ -80,14 +80,14 @@ KINDS = [
          _meant("SMTP", server_name="mx.example.org", greeting_verb="EHLO", capabilities="HELP", starttls_offered=False, message_bytes="9", commands="EHLO DATA<250>DATA AUTH QUIT", auth="LOGIN ann true true")),
     Kind(25, crlf("EHLO c", "BDAT <size>") + "<fill>" + crlf("BDAT 3 LAST") + "\nxy" + crlf("AUTH PLAIN " + b64("\0bob\0pw"), "QUIT"), crlf("220 mx.example.org ready", "250-mx.example.org", "250-SIZE 9", "250 XXXXXXXX", "250 ok", "250 ok", "535 no", "221 bye"), "QUIT\r\n..",
          _meant("SMTP", **EHLO_CAPS | {"capabilities": "SIZE XXXXXXXX", "starttls_offered": False}, message_bytes="8 * n + 3", commands="EHLO BDAT BDAT AUTH QUIT", auth="PLAIN bob true false",
-                strip="EHLO capability 'XXXXXXXX' is a same-length rewrite of STARTTLS")),
+                strip="EHLO capability 'XXXXXXXX' looks like an overwritten STARTTLS")),
     Kind(587, crlf("EHLO c", "STARTTLS") + "<fill>" + hello_c(), EHLO + crlf("220 go") + hello_s(), "RSET\r\n",
          _meant("SMTP", **EHLO_CAPS, mode="starttls", starttls_requested=True, starttls_response="220 go", tls_client_offset="18 + 6 * n", tls_server_offset=80, commands="EHLO STARTTLS",
-                inject="CASE WHEN n > 0 THEN concat('client sent ', 6 * n, ' bytes of cleartext after STARTTLS before TLS (pipelined commands: ', substr(repeat(', RSET', least(n, 5)), 3), ')') ELSE '' END")),
+                inject="CASE WHEN n > 0 THEN concat('client sent ', 6 * n, ' bytes of cleartext after STARTTLS and before TLS (commands: ', substr(repeat(', RSET', least(n, 5)), 3), ')') ELSE '' END")),
     Kind(143, crlf("a1 CAPABILITY", "a2 LOGIN {3}") + "cid" + crlf(' "p w"', "a3 APPEND box {<size>}") + "<fill>" + crlf("", "a4 FETCH 1 BODY[]", "a5 LOGOUT"),
          crlf("* OK [ALERT] mx.example.org ready", "* CAPABILITY IMAP4rev1 STARTTLZ", "a1 OK", "+ go", "a2 OK in", "+ go", "a3 OK", "* 1 FETCH (BODY[] {<size>}") + "<fill>" + crlf(")", "a4 OK done", "* BYE", "a5 OK"), "a4 OK in the middle of a message\r\nthat is read as bytes, not lines\r\n"[:64],
          _meant("IMAP", server_name="mx.example.org", capabilities="IMAP4REV1 STARTTLZ", starttls_offered=False, message_bytes="64 * n + CASE WHEN n > 3 THEN 64 * n ELSE 0 END", commands="CAPABILITY LOGIN APPEND FETCH LOGOUT",
-                auth="IMAP-LOGIN cid true true", strip="IMAP capability 'STARTTLZ' is a same-length rewrite of STARTTLS")),
+                auth="IMAP-LOGIN cid true true", strip="IMAP capability 'STARTTLZ' looks like an overwritten STARTTLS")),
     Kind(143, crlf("a1 STARTTLS", "a2 AUTHENTICATE PLAIN", b64("\0dan\0pw")) + "<fill>" + crlf("a9 LOGOUT"), crlf("* OK ready", "a1 NO later", "+ ", "a2 OK in", "* BYE", "a9 OK bye"), "x NOOP\r\n",
          _meant("IMAP", starttls_requested=True, starttls_response="a1 NO later", commands="STARTTLS AUTHENTICATE<NOOP> LOGOUT", auth="PLAIN dan true true", strip="STARTTLS refused with 'a1 NO later'")),
     Kind(110, crlf("CAPA", "USER eve", "PASS pw", "RETR 1", "QUIT"), crlf("+OK mx.example.org ready", "+OK list", "TOP", "STLS", ".", "+OK", "+OK in", "+OK message") + "<fill>" + crlf("..", ".", "+OK bye"), "+OK of a message\r\n",

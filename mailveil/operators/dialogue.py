@@ -94,12 +94,12 @@ def upgrade_offered(caps: Column, protocol: Column) -> Column:
 
 
 def mangled_indicators(caps: Column, protocol: Column) -> Column:
-    """One text per capability that is a same-length rewrite of the upgrade verb."""
+    """One text per capability that looks like an overwritten upgrade verb."""
     label = F.when(protocol == "SMTP", "EHLO").otherwise(protocol)
     pop = protocol == "POP3"
     target = F.when(pop, "STLS").otherwise("STARTTLS")
     hits = F.filter(caps, lambda c: F.when(pop, tx.looks_mangled(c, "STLS")).otherwise(tx.looks_mangled(c, "STARTTLS")))
-    return F.transform(hits, lambda c: F.concat(label, F.lit(" capability '"), c, F.lit("' is a same-length rewrite of "), target))
+    return F.transform(hits, lambda c: F.concat(label, F.lit(" capability '"), c, F.lit("' looks like an overwritten "), target))
 
 
 def refusal_indicator(protocol: Column, requested: Column, code: Column, answer: Column) -> Column:
@@ -135,10 +135,10 @@ def injection_indicator(side: str, verb: Column, cleartext: Column) -> Column:
     size = F.length(cleartext).cast("string")
     if side == "client":
         text = F.concat(F.lit("client sent "), size, F.lit(" bytes of cleartext after "), verb,
-                        F.lit(" before TLS (pipelined commands: "), shown, F.lit(")"))
+                        F.lit(" and before TLS (commands: "), shown, F.lit(")"))
     else:
         text = F.concat(F.lit("server sent "), size, F.lit(" bytes of cleartext after accepting "), verb,
-                        F.lit(" before TLS (response injection: "), shown, F.lit(")"))
+                        F.lit(" and before TLS (answers: "), shown, F.lit(")"))
     return F.when(F.length(cleartext) > 0, text)
 
 

@@ -313,7 +313,7 @@ def unclassified(flows: DataFrame, sessions: DataFrame) -> DataFrame:
         return F.concat(F.col(f"{name}.ip"), F.lit(":"), F.col(f"{name}.port"))
 
     return rest.select("capture_id", plain("client").alias("client"), plain("server").alias("server"), "client_bytes",
-                       "server_bytes", "frames", F.when(has_bytes, "neither side matched a known mail protocol")
+                       "server_bytes", "frames", F.when(has_bytes, "no known mail protocol on either side")
                        .otherwise("no payload captured").alias("reason"))
 
 

@@ -41,7 +41,7 @@ FROM (SELECT *, coalesce(server_name, server_ip) AS server_host,
          WHEN protocol = 'SMTP' THEN concat(coalesce(greeting_verb, 'EHLO'), ' MAIL RCPT DATA RSET NOOP VRFY HELP QUIT')
          WHEN protocol = 'IMAP' THEN 'CAPABILITY LOGIN SELECT FETCH LOGOUT' ELSE 'USER PASS STAT RETR QUIT' END AS commands_text,
     CASE WHEN mode = 'implicit' THEN ''
-         WHEN session_id % 6 = 0 AND NOT coalesce(starttls_offered, false) THEN 'capability XXXXXXXX is a same-length rewrite of STARTTLS'
+         WHEN session_id % 6 = 0 AND NOT coalesce(starttls_offered, false) THEN 'capability XXXXXXXX looks like an overwritten STARTTLS'
          WHEN session_id % 31 = 0 AND mode = 'plaintext' THEN 'STARTTLS refused with 454 TLS not available' ELSE '' END AS strip_text,
     CASE WHEN mode = 'starttls' AND session_id % 37 = 0 THEN 'client sent 12 bytes of cleartext after STARTTLS before TLS' ELSE '' END AS inject_text
   FROM (SELECT concat('cap', o_custkey % 20) AS capture_id, o_orderkey AS session_id,
@@ -149,7 +149,7 @@ SELECT CASE WHEN event_id % 4 = 0 THEN 'stored' ELSE concat('cap', event_id % 3)
   CASE WHEN event_type IN ('view', 'click') THEN event_id % 249 = 0 END AS self_signed,
   CASE WHEN event_type IN ('view', 'click') AND event_id % 5 <> 4 THEN event_id % 7 <> 3 END AS trusted,
   event_id % 11 <> 0 AS clean,
-  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'capability XXXXXXXX is a same-length rewrite of STARTTLS' ELSE '' END AS strip_text
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'capability XXXXXXXX looks like an overwritten STARTTLS' ELSE '' END AS strip_text
 FROM events
 """
 

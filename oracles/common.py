@@ -168,14 +168,14 @@ TLS_RULES = [
          "concat('group ', selected_group, ' is not in the client''s supported_groups')", 0.6, 0.8),
 ]
 _REASON = "CASE absent_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {
-    "tls13": "TLS 1.3 encrypts the Certificate message; not observable passively",
-    "anonymous": "anonymous key exchange: the server sent no certificate at all",
-    "resumed": "abbreviated handshake (session resumed): the certificate was validated in an earlier handshake this capture does not contain",
+    "tls13": "TLS 1.3 sends certificates encrypted, so none can be seen",
+    "anonymous": "the key exchange was anonymous and used no certificate",
+    "resumed": "the session was resumed, and its certificate shown in a handshake outside this capture",
 }.items()) + " END"
 TRUST_DETAIL = """CASE WHEN sans_text = '' THEN 'leaf has no DNS subjectAltName; path validation skipped'
-  WHEN expired OR not_yet_valid THEN 'a certificate in the path was outside its validity window at capture time, so the path could not be built'
-  WHEN n_certs = 1 THEN concat('no issuer for this certificate is in the trust store, and no intermediate was presented — the server is serving an incomplete chain (issuer: ', last_issuer, ')')
-  ELSE concat('the chain ends at ''', last_issuer, ''', which is not in the trust store — either a private CA, or a missing intermediate the server should be sending') END"""
+  WHEN expired OR not_yet_valid THEN 'no path could be built, as one of its certificates was not valid at the time of the capture'
+  WHEN n_certs = 1 THEN concat('the trust store does not know the issuer, and the server sent no intermediate: its chain is incomplete (issuer: ', last_issuer, ')')
+  ELSE concat('the trust store does not know ''', last_issuer, ''', where the chain ends: a private CA, or the server leaves out an intermediate') END"""
 CERT_RULES = [
     rule("CERT-012", "'info'", "absent_kind = 'resumed'", f"concat({_REASON}, ' | expiry, hostname and trust were not checked for this session')", 0.0, 1.0),
     rule("CERT-014", "'critical'", "absent_kind = 'anonymous'", f"concat({_REASON}, ' | the channel is encrypted to an unauthenticated peer; trivially man-in-the-middled')", 1.0, 1.0),
@@ -194,7 +194,7 @@ CERT_RULES = [
          "concat(key_type, ' ', key_bits, '-bit public key')", 0.5),
     rule("CERT-005", "'high'", "present AND weak_sig IS NOT NULL", "weak_sig", 0.4),
     rule("CERT-006", "'medium'", "present AND NOT chain_links_ok",
-         "'presented chain is out of order or contains a certificate that does not sign its predecessor'", 0.3),
+         "'the chain shown is unordered, or one of its certificates does not sign the one before it'", 0.3),
     rule("CERT-007", "'medium'", "present AND NOT trusted AND NOT self_signed", f"concat({TRUST_DETAIL}, ' | issuer: ', leaf_issuer)", 0.6),
     rule("CERT-011", "'low'", "present AND bad_der IS NOT NULL", "bad_der", 0.1, 1.0),
     rule("CERT-008", "'low'", "present AND (is_ca OR NOT eku_server_auth)",

@@ -93,8 +93,8 @@ SELECT session_id, CASE WHEN imp THEN CASE server_port WHEN 465 THEN 'SMTP' WHEN
 FROM (SELECT *, CASE WHEN server_head LIKE '220 mx%' THEN 0 WHEN server_head LIKE '* OK%' THEN 1 END AS o_mod FROM c)""",
     "mangled_capabilities": HEADS + f""", u AS (SELECT session_id, upper(token) AS up, ['SMTP', 'IMAP', 'POP3'][session_id % 3 + 1] AS protocol FROM v_heads)
 SELECT session_id, concat(up, ' SIZE') AS caps, up = CASE WHEN protocol = 'POP3' THEN 'STLS' ELSE 'STARTTLS' END AS offered,
-  CASE WHEN protocol = 'POP3' THEN CASE WHEN {_mangled('STLS')} THEN concat('POP3 capability ''', up, ''' is a same-length rewrite of STLS') ELSE '' END
-    ELSE CASE WHEN {_mangled('STARTTLS')} THEN concat(CASE WHEN protocol = 'SMTP' THEN 'EHLO' ELSE 'IMAP' END, ' capability ''', up, ''' is a same-length rewrite of STARTTLS') ELSE '' END END AS indicators FROM u""",
+  CASE WHEN protocol = 'POP3' THEN CASE WHEN {_mangled('STLS')} THEN concat('POP3 capability ''', up, ''' looks like an overwritten STLS') ELSE '' END
+    ELSE CASE WHEN {_mangled('STARTTLS')} THEN concat(CASE WHEN protocol = 'SMTP' THEN 'EHLO' ELSE 'IMAP' END, ' capability ''', up, ''' looks like an overwritten STARTTLS') ELSE '' END END AS indicators FROM u""",
     "sasl_events": HEADS + """, j AS (SELECT h.session_id, h.mechanism, o.o_custkey AS c FROM v_heads h JOIN orders o ON o.o_orderkey = h.session_id)
 SELECT session_id, upper(mechanism) AS mechanism, CASE session_id % 8 WHEN 0 THEN concat('u', c) WHEN 1 THEN concat('user', c) WHEN 2 THEN concat('u', c) WHEN 3 THEN concat('u', c) WHEN 4 THEN concat('u', c)
   WHEN 6 THEN concat('user', c) END AS username, session_id % 8 IN (0, 1, 3) AS secret_exposed, session_id % 2 = 0 AS accepted FROM j""",
@@ -106,8 +106,8 @@ SELECT session_id, CASE WHEN starttls_requested AND answer IS NOT NULL AND NOT C
 pt AS (SELECT *, position(concat(chr(22), chr(3)) IN substr(t, cast(so + 1 AS int))) AS p FROM texts JOIN st USING (capture_id, side_a, side_b, conv_no, dir)),
 cl AS (SELECT *, CASE WHEN p > 1 THEN substr(t, cast(so + 1 AS int), cast(p - 1 AS int)) ELSE '' END AS c FROM pt),
 vb AS (SELECT *, array_to_string(list_transform(list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: upper(split_part(x, ' ', 1)))[1:5], ', ') AS verbs FROM cl)
-SELECT {KEY}, dir, CASE WHEN p > 0 THEN so + p - 1 END AS tls_off, CASE WHEN c <> '' THEN md5(CASE WHEN dir = 'C' THEN concat('client sent ', length(c), ' bytes of cleartext after STARTTLS before TLS (pipelined commands: ', CASE WHEN verbs = '' THEN 'binary' ELSE verbs END, ')')
-  ELSE concat('server sent ', length(c), ' bytes of cleartext after accepting STARTTLS before TLS (response injection: ', CASE WHEN verbs = '' THEN 'binary' ELSE verbs END, ')') END) END AS injection_hash FROM vb""",
+SELECT {KEY}, dir, CASE WHEN p > 0 THEN so + p - 1 END AS tls_off, CASE WHEN c <> '' THEN md5(CASE WHEN dir = 'C' THEN concat('client sent ', length(c), ' bytes of cleartext after STARTTLS and before TLS (commands: ', CASE WHEN verbs = '' THEN 'binary' ELSE verbs END, ')')
+  ELSE concat('server sent ', length(c), ' bytes of cleartext after accepting STARTTLS and before TLS (answers: ', CASE WHEN verbs = '' THEN 'binary' ELSE verbs END, ')') END) END AS injection_hash FROM vb""",
     "session_classes": common.facts_with(common.FINDINGS, baseline.OBSERVE, baseline.deviations()) + """, k AS (SELECT f.*, (SELECT count(*) FROM deviations d WHERE d.capture_id = f.capture_id AND d.session_id = f.session_id AND d.code = 'cert_change') AS cc,
   (SELECT count(*) FROM deviations d WHERE d.capture_id = f.capture_id AND d.session_id = f.session_id AND d.code = 'downgrade') AS dg FROM facts f),
 l AS (SELECT capture_id, session_id, CASE WHEN strip_text <> '' THEN 'STARTTLS stripped' WHEN inject_text <> '' THEN 'Command injection' WHEN cc > 0 THEN 'Certificate swapped' WHEN dg > 0 THEN 'Downgraded'

@@ -75,7 +75,7 @@ SQL = {
 SELECT {KEY}, dir, lo, hi, string_agg(cast(frame AS varchar), ',' ORDER BY frame) AS frames FROM (SELECT DISTINCT {KEY}, dir, lo, hi, frame FROM kinds, r
   WHERE NOT covered AND hi > lo AND start < hi AND off + len > lo) GROUP BY ALL""",
     "session_numbers": FLOWS + f" SELECT {KEY}, session_no, concat('S', lpad(cast(session_no AS varchar), cast(greatest(3, length(cast(session_no AS varchar))) AS int), '0')) AS session_id FROM mail",
-    "unclassified_flows": FLOWS + f""" SELECT capture_id, client, server, client_bytes, server_bytes, frames, 'neither side matched a known mail protocol' AS reason FROM flows f
+    "unclassified_flows": FLOWS + f""" SELECT capture_id, client, server, client_bytes, server_bytes, frames, 'no known mail protocol on either side' AS reason FROM flows f
   WHERE (sport IN (25, 110, 143) OR cport IN (25, 110, 143)) AND NOT EXISTS (SELECT 1 FROM mail m WHERE m.capture_id = f.capture_id AND m.side_a = f.side_a AND m.side_b = f.side_b AND m.conv_no = f.conv_no)""",
     "flow_totals": FLOWS + """ SELECT capture_id, count(*) AS flows, (SELECT count(*) FROM mail m WHERE m.capture_id = f.capture_id) AS mail_sessions,
   count(*) - (SELECT count(*) FROM mail m WHERE m.capture_id = f.capture_id) AS non_mail_flows FROM flows f GROUP BY capture_id""",

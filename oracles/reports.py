@@ -61,12 +61,12 @@ SQL = {
   ['*.a.com', 'mx.a.com', '*.com', 'm*.a.com', '10.0.0.1', '', '*.y.a.com'][session_id // 6 % 7 + 1] AS san, ['mx.a.com', 'x.y.a.com', 'a.com', 'MX.A.COM.', '10.0.0.1', 'other.org'][session_id // 42 % 6 + 1] AS cn FROM v_sessions)
 SELECT capture_id, session_id, cn, CASE WHEN san = '' THEN host = rtrim(lower(cn), '.') WHEN san = 'm*.a.com' OR san = '*.com' THEN false WHEN san = '*.a.com' THEN host = 'mx.a.com' WHEN san = '*.y.a.com' THEN host = 'x.y.a.com'
   ELSE host = san END AS matches FROM x""",
-    "certificate_path_failures": with_clause(["v_sessions"]) + """ SELECT capture_id, session_id, CASE WHEN session_id % 6 IN (0, 5) THEN 'a certificate in the path was outside its validity window at capture time, so the path could not be built'
-  WHEN session_id % 6 = 1 AND session_id % 3 = 0 THEN 'no issuer for this certificate is in the trust store, and no intermediate was presented — the server is serving an incomplete chain (issuer: CN=X)'
-  WHEN session_id % 6 = 1 THEN 'the chain ends at ''CN=X'', which is not in the trust store — either a private CA, or a missing intermediate the server should be sending'
-  WHEN session_id % 6 = 2 THEN 'a signature in the path uses an algorithm the validator will not accept' WHEN session_id % 6 = 3 THEN 'a certificate in the path is not permitted to act in the role it was used for' ELSE 'odd' END AS detail FROM v_sessions""",
+    "certificate_path_failures": with_clause(["v_sessions"]) + """ SELECT capture_id, session_id, CASE WHEN session_id % 6 IN (0, 5) THEN 'no path could be built, as one of its certificates was not valid at the time of the capture'
+  WHEN session_id % 6 = 1 AND session_id % 3 = 0 THEN 'the trust store does not know the issuer, and the server sent no intermediate: its chain is incomplete (issuer: CN=X)'
+  WHEN session_id % 6 = 1 THEN 'the trust store does not know ''CN=X'', where the chain ends: a private CA, or the server leaves out an intermediate'
+  WHEN session_id % 6 = 2 THEN 'the path relies on a signature algorithm that is not accepted' WHEN session_id % 6 = 3 THEN 'the path uses a certificate for something that it is not allowed to do' ELSE 'odd' END AS detail FROM v_sessions""",
     "certificate_inventory": SEEN + """ SELECT sha256, ['leaf', 'intermediate', 'root'][min(role_rank) + 1] AS role, any_value(subject) AS subject, count(DISTINCT endpoint) AS endpoints, count(DISTINCT (cap, sid)) AS sessions FROM seen GROUP BY sha256""",
-    "certificate_unobservable": c.facts_with() + f""" SELECT capture_id, absent_kind, CASE absent_kind WHEN 'no_tls' THEN 'no TLS handshake in this session' WHEN 'missing' THEN 'Certificate message not captured' ELSE {c._REASON} END AS reason_absent,
+    "certificate_unobservable": c.facts_with() + f""" SELECT capture_id, absent_kind, CASE absent_kind WHEN 'no_tls' THEN 'the session has no TLS handshake' WHEN 'missing' THEN 'no Certificate message in this capture' ELSE {c._REASON} END AS reason_absent,
   count(*) AS sessions FROM chains WHERE NOT present GROUP BY ALL""",
     "certificate_checks": CHECKS + ' SELECT sha256, "check", state FROM checks',
     "certificate_verdicts": VERDICTS + " SELECT sha256, failed, severity, label FROM verdicts",

@@ -24,7 +24,7 @@ UNION ALL SELECT o_orderkey, 0, 'command', CASE WHEN o_orderkey % 7 = 0 THEN 'HE
   CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 5 = 4 THEN 'SIZE XXXXXXXX' ELSE 'SIZE STARTTLS' END END AS capabilities, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 <> 4 END AS starttls_offered,
   o_orderkey % 5 = 4 AS starttls_requested, false AS starttls_accepted,
   CASE o_orderkey % 5 WHEN 0 THEN 12 + 2 + 6 + 7 + length(cast(o_custkey AS varchar)) + 3 WHEN 1 THEN 10 ELSE 0 END AS message_bytes,
-  CASE WHEN o_orderkey % 5 = 4 THEN concat(CASE WHEN o_orderkey % 7 <> 0 THEN 'EHLO capability ''XXXXXXXX'' is a same-length rewrite of STARTTLS | ' ELSE '' END, 'STARTTLS refused with ''454 later''') ELSE '' END AS strip_indicators FROM orders""",
+  CASE WHEN o_orderkey % 5 = 4 THEN concat(CASE WHEN o_orderkey % 7 <> 0 THEN 'EHLO capability ''XXXXXXXX'' looks like an overwritten STARTTLS | ' ELSE '' END, 'STARTTLS refused with ''454 later''') ELSE '' END AS strip_indicators FROM orders""",
     "smtp_auth_events": """SELECT o_orderkey AS session_id, CASE o_orderkey % 5 WHEN 2 THEN 'LOGIN' ELSE 'PLAIN' END AS mechanism, concat(CASE o_orderkey % 5 WHEN 2 THEN 'user' ELSE 'u' END, o_custkey) AS username,
   true AS secret_exposed, o_orderkey % 5 = 2 AS accepted FROM orders WHERE o_orderkey % 5 IN (2, 3)""",
     "imap_commands": """SELECT o_orderkey AS session_id, 0 AS line_no, 'a1' AS tag, 'CAPABILITY' AS verb, 'OK' AS status, 'a1 OK done' AS answer FROM orders

@@ -87,14 +87,14 @@ def test_upgrades(hand):
     assert r.cleartext_commands == ["EHLO", "STARTTLS"] and r.injection_indicators == [] and r.tls_used
     r = hand["inject"]
     assert r.tls_client_offset == 44 and r.injection_indicators == [
-        "client sent 26 bytes of cleartext after STARTTLS before TLS (pipelined commands: MAIL, RCPT)",
-        "server sent 11 bytes of cleartext after accepting STARTTLS before TLS (response injection: 250, \x15\x03\x01)"]
+        "client sent 26 bytes of cleartext after STARTTLS and before TLS (commands: MAIL, RCPT)",
+        "server sent 11 bytes of cleartext after accepting STARTTLS and before TLS (answers: 250, \x15\x03\x01)"]
     assert (hand["alert first"].tls_client_offset, hand["alert first"].injection_indicators) == (18, [])
     r = hand["stays clear"]
-    assert not r.tls_used and r.strip_indicators == ["EHLO capability 'XXXXXXXX' is a same-length rewrite of STARTTLS", "STARTTLS accepted but session continued in cleartext (no TLS handshake)"]
+    assert not r.tls_used and r.strip_indicators == ["EHLO capability 'XXXXXXXX' looks like an overwritten STARTTLS", "STARTTLS was accepted, yet the dialogue went on in cleartext"]
     assert "the capture ends there" in hand["no tls seen"].notes[0] and hand["no tls seen"].strip_indicators == []
     r = hand["denied"]
-    assert r.strip_indicators == ["EHLO capability 'STARTTLX' is a same-length rewrite of STARTTLS", "STARTTLS refused with '454 4.7 later'"] and not r.starttls_accepted
+    assert r.strip_indicators == ["EHLO capability 'STARTTLX' looks like an overwritten STARTTLS", "STARTTLS refused with '454 4.7 later'"] and not r.starttls_accepted
     assert [tuple(a) for a in r.auth_events] == [("PLAIN", "bob", True, False), ("PLAIN", None, False, False)]
     assert (hand["implicit"].protocol, hand["implicit"].mode, hand["implicit"].tls_client_offset) == ("IMAP", "implicit", 0)
     assert "web" not in hand and "noise" not in hand
@@ -105,7 +105,7 @@ def test_imap(hand):
     assert r.cleartext_commands == ["CAPABILITY", "LOGIN", "APPEND", "FETCH", "LOGOUT"] and r.cleartext_message_bytes == 326
     assert [tuple(a) for a in r.auth_events] == [("IMAP-LOGIN", "an\r\nn", True, True)]
     assert (r.server_name, r.capabilities, r.starttls_offered) == ("mx.example.org", ["IMAP4REV1"], False)
-    assert r.strip_indicators == ["IMAP capability 'STARTTLZ' is a same-length rewrite of STARTTLS"] and "unusual port" in r.notes[-1]
+    assert r.strip_indicators == ["IMAP capability 'STARTTLZ' looks like an overwritten STARTTLS"] and "unusual port" in r.notes[-1]
     r = hand["imap auth"]
     assert [tuple(a) for a in r.auth_events] == [("PLAIN", "cid", True, True), ("PLAIN", "dan", False, False)] and r.cleartext_commands == ["AUTHENTICATE", "AUTHENTICATE", "NOOP", "NOOP"]
     r = hand["imap tls"]
@@ -117,7 +117,7 @@ def test_pop3(hand):
     r = hand["pop"]
     assert r.cleartext_commands == ["CAPA", "USER", "PASS", "LIST", "RETR", "TOP", "UIDL", "QUIT"] and r.cleartext_message_bytes == 26
     assert [tuple(a) for a in r.auth_events] == [("USER/PASS", "ann", True, True)] and r.server_name == "mx.example.org"
-    assert r.capabilities == ["TOP", "STLX"] and r.starttls_offered is False and r.strip_indicators == ["POP3 capability 'STLX' is a same-length rewrite of STLS"]
+    assert r.capabilities == ["TOP", "STLX"] and r.starttls_offered is False and r.strip_indicators == ["POP3 capability 'STLX' looks like an overwritten STLS"]
     r = hand["pop auth"]
     assert [tuple(a) for a in r.auth_events] == [("PLAIN", "bob", True, False), ("APOP", "cat", False, True), ("USER/PASS", None, False, True)]
     assert r.strip_indicators == ["STLS refused with '-ERR no'"]
