@@ -14,7 +14,8 @@ same way; sums travel in limbs of 40 bits.
 Rows whose vector is null or holds null, NaN or infinite components are left out. Rows that repeat a vec_id all count; starting
 entries order them by their components; a null vec_id comes last. Fewer rows than ENTRIES make shorter codebooks. The length of
 vectors is that of the first one; it is padded with zeros to a multiple of PARTS. A vector of another length keeps its row
-with a null code and error and takes part in nothing. An error over 2**63 - 1 is null. Empty tables give no rows; other columns are left out.
+with a null code and error and takes part in nothing. An error over 2**63 - 1 is null; a label's error is the sum
+of those that are known, or null if there are none or the sum is over that limit. Empty tables give no rows; other columns are left out.
 """
 
 from __future__ import annotations
