@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtures import mail
+from fixtures import capture_files, mail
 from mailveil.plans import views
 from mailveil.plans.mail import MailAnalysis, MailTraffic
-from mailveil.session import cut_lineage
+from mailveil.session import cut_lineage, shared_folder
+from mailveil.sources import ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHUNK = 64  # small chunks, so that dialogues cross chunk borders
@@ -111,6 +113,16 @@ def mail_priorities(spark, d):
     return analysis(spark, d).ranked.select("capture_id", "priority", "session_id", "rule_id", "severity", "risk")
 
 
+@query
+def capture_range_frames(spark, d):
+    """All frames of whole capture files, read by ranges of 64 KiB that begin in the middle of records."""
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    capture_files.write_files(cut_lineage(views.view(spark, d, "v_frames")), folder)
+    rows = ranges.frames(spark, folder, range_bytes=1 << 16)
+    return rows.select(F.regexp_extract("capture_id", r"([^/]+)\.pcap(ng)?$", 1).alias("capture_id"), "frame", "ts_ns", "linktype",
+                       F.md5("data").alias("data_hash"), "note")
+
+
 # --------------------------------------------------------------------------- reference SQL
 def _value(value) -> str:
     return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
@@ -139,6 +151,8 @@ SESSIONS = views.with_clause(["v_mail"]) + f""", numbered AS (
 named AS (SELECT *, concat('S', lpad(cast(session_no AS varchar), cast(greatest(3, length(cast(session_no AS varchar))) AS int), '0')) AS session_id FROM numbered)"""
 
 SQL = {
+    "capture_range_frames": views.with_clause(["v_frames"]) + f""" SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY frame) AS frame, ts * 1000000000 AS ts_ns, {capture_files.LINKTYPE} AS linktype,
+  md5(unhex(data_hex)) AS data_hash, NULL AS note FROM v_frames""",
     "mail_sessions": SESSIONS + f""" SELECT capture_id, session_id, client_ip, client_port, concat(server_ip, ':', server_port) AS endpoint_key, {", ".join(
         f"{_by_kind(name, render)}{cast} AS {out}" for name, render, cast, out in [
             ("protocol", _quoted, "", "protocol"), ("mode", _quoted, "", "mode"), ("identified_by", _quoted, "", "identified_by"), ("one_sided", _value, "", "one_sided"), ("server_name", _quoted, "", "server_name"),
