@@ -55,8 +55,7 @@ def rules_certificate(spark, d):
 
 @query
 def rule_fire_counts(spark, d):
-    a = Analysis(spark, d)
-    return rules.fire_counts(a.findings)
+    return rules.fire_counts(Analysis(spark, d, staged=True).all_findings)
 
 
 @query
@@ -162,7 +161,7 @@ def session_feature_vector(spark, d):
 # --------------------------------------------------------------------------- scoring
 @query
 def finding_risk(spark, d):
-    a = Analysis(spark, d)
+    a = Analysis(spark, d, staged=True)
     return a.scored.select("capture_id", "session_id", "rule_id", F.round("exposure", 4).alias("exposure"),
                                           "criticality", "risk")
 
@@ -218,8 +217,7 @@ def capture_flags(spark, d):
 
 @query
 def severity_gate(spark, d):
-    a = Analysis(spark, d)
-    return scoring.severity_gate(a.findings, "critical")
+    return scoring.severity_gate(Analysis(spark, d, staged=True).all_findings, "critical")
 
 
 # --------------------------------------------------------------------------- flows and streams
@@ -594,7 +592,7 @@ def report_kpis(spark, d):
 
 @query
 def report_severity_shares(spark, d):
-    return reports.severity_shares(Analysis(spark, d).findings)
+    return reports.severity_shares(Analysis(spark, d, staged=True).all_findings)
 
 
 @query
@@ -614,14 +612,14 @@ def report_versions(spark, d):
 
 @query
 def report_finding_search(spark, d):
-    rows = reports.search_findings(Analysis(spark, d).findings, ["critical", "high"], "STARTTLS")
+    rows = reports.search_findings(Analysis(spark, d, staged=True).all_findings, ["critical", "high"], "STARTTLS")
     return rows.select("capture_id", "session_id", "rule_id", "severity")
 
 
 @query
 def report_session_detail(spark, d):
-    a = Analysis(spark, d)
-    return reports.session_detail(a.facts, a.findings, 8).select(
+    a = Analysis(spark, d, staged=True)
+    return reports.session_detail(a.facts, a.all_findings, 8).select(
         "capture_id", "session_id", "endpoint", "protocol", "mode", "version_name", "cipher_name", text("rules", " "))
 
 
@@ -659,13 +657,13 @@ def report_timeline(spark, d):
 @query
 def report_timeline_findings(spark, d):
     a = Analysis(spark, d, staged=True)
-    return reports.attach_findings(reports.timeline(a.facts), a.findings).withColumn("step", F.col("step").cast("bigint"))
+    return reports.attach_findings(reports.timeline(a.facts), a.all_findings).withColumn("step", F.col("step").cast("bigint"))
 
 
 @query
 def report_section_counts(spark, d):
     a = Analysis(spark, d, staged=True)
-    return reports.section_counts(a.facts, a.findings, a.certificates)
+    return reports.section_counts(a.facts, a.all_findings, a.certificates)
 
 
 @query
@@ -747,6 +745,31 @@ def isolation_forest_outliers(spark, d):
     return models.flag_outliers(models.anomaly_scores(rows, models.isolation_forest(rows, keys), keys))
 
 
+def _outlier_findings(a: Analysis) -> DataFrame:
+    rows, keys = cut_lineage(a.features), ["capture_id", "session_id"]
+    flags = cut_lineage(models.flag_outliers(models.anomaly_scores(rows, models.isolation_forest(rows, keys), keys)))
+    return models.outlier_findings(flags, rows, a.sessions)
+
+
+@query
+def outlier_findings(spark, d):
+    """The ML-001 finding of every session that the forest flags."""
+    return _outlier_findings(Analysis(spark, d, staged=True)).select(
+        "capture_id", "session_id", "endpoint", "rule_id", "severity", text("evidence", " | "), "exploitability", "confidence")
+
+
+@query
+def session_blended_risk(spark, d):
+    """Risk of every session from all findings, outliers included, blended with the fitted model's prediction."""
+    a = Analysis(spark, d, staged=True)
+    risks = scoring.session_rule_risk(a.sessions, a.all_findings)
+    rows = cut_lineage(a.features.join(risks, ["capture_id", "session_id"]).withColumn("split", models.split_of(F.col("capture_id"))))
+    predicted = models.predict_risk(models.train_risk(rows.where("split = 'train'")), rows)
+    known = ["capture_id", "session_id", "rule_id", "severity", "exploitability"]
+    findings = a.all_findings.select(known).unionByName(_outlier_findings(a).select(known))
+    return scoring.session_risk(a.sessions, findings, predicted)
+
+
 @query
 def outlier_reasons(spark, d):
     return models.outlier_reasons(cut_lineage(Analysis(spark, d, staged=True).features), ["capture_id", "session_id"])

@@ -81,7 +81,7 @@ class Analysis:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return scoring.score_findings(self.findings, self.sessions, self.assets)
+        return scoring.score_findings(self.all_findings, self.sessions, self.assets)
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Analysis:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return scoring.prioritise(scoring.score_findings(self.all_findings, self.sessions, self.assets))
+        return scoring.prioritise(self.scored)
 
     @cached_property
     def posture(self) -> DataFrame:

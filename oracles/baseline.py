@@ -64,9 +64,10 @@ deviations AS (
     concat('JA3S ', ja3s, ' not seen in known fingerprint(s)') FROM judged WHERE f_new0 AND NOT f_drop AND NOT f_cert AND NOT f_old AND NOT f_weak0)"""
 
 
-ALL_FINDINGS = """raised AS (
-  SELECT f.*, f.severity <> 'critical' AND ((f.rule_id IN ('STRIP-001', 'PLAIN-001', 'PLAIN-003') AND EXISTS (SELECT 1 FROM deviations d WHERE d.capture_id = f.capture_id AND d.session_id = f.session_id AND d.code = 'starttls_drop'))
-    OR (f.rule_id IN ('CERT-002', 'CERT-003', 'CERT-007') AND EXISTS (SELECT 1 FROM deviations d WHERE d.capture_id = f.capture_id AND d.session_id = f.session_id AND d.code = 'cert_change'))) AS up FROM findings f),
+ALL_FINDINGS = """reasons AS (SELECT capture_id, session_id, bool_or(code = 'starttls_drop') AS dropped, bool_or(code = 'cert_change') AS changed FROM deviations GROUP BY ALL),
+raised AS (
+  SELECT f.*, f.severity <> 'critical' AND ((f.rule_id IN ('STRIP-001', 'PLAIN-001', 'PLAIN-003') AND coalesce(dropped, false)) OR (f.rule_id IN ('CERT-002', 'CERT-003', 'CERT-007') AND coalesce(changed, false))) AS up
+  FROM findings f LEFT JOIN reasons USING (capture_id, session_id)),
 all_findings AS (
   SELECT capture_id, session_id, endpoint, endpoint_key, rule_id, CASE WHEN up THEN 'critical' ELSE severity END AS severity, CASE WHEN up THEN severity END AS escalated_from,
     evidence, exploitability, confidence FROM raised
@@ -150,7 +151,7 @@ cur AS (SELECT * FROM v_observations WHERE capture_id <> 'stored'), """ + deviat
     "history_newest_features": V_OBS + """SELECT capture_id, session_id, ts FROM v_observations WHERE grade IS NOT NULL ORDER BY ts DESC, session_id DESC LIMIT 5000""",
     "history_of_endpoint": V_OBS + """SELECT capture_id, session_id, ts, tls_used, version FROM v_observations WHERE endpoint_key = '203.0.113.8:25'""",
     "session_feature_vector": c.facts_with(c.FINDINGS, OBSERVE, deviations()) + f" SELECT capture_id, session_id, {FEATURE_LIST} FROM facts",
-    "finding_risk": c.facts_with(c.FINDINGS, CONTEXT, scored("findings")) + """ SELECT capture_id, session_id, rule_id,
+    "finding_risk": FULL + ", " + CONTEXT + ", " + scored("all_findings") + """ SELECT capture_id, session_id, rule_id,
   round(exposure, 4) AS exposure, criticality, risk FROM scored""",
     "session_risk": FULL + f""", rr AS (SELECT s.capture_id, s.session_id, coalesce(round(100::double * (1::double - product(1::double - {WEIGHT.format(col='f.severity')} * (0.6::double + 0.4::double * f.exploitability))), 1), 0) AS rule_risk
   FROM v_sessions s LEFT JOIN all_findings f USING (capture_id, session_id) GROUP BY ALL)
@@ -166,8 +167,8 @@ SELECT capture_id, session_id, rule_risk, round(least(100::double, CASE WHEN ses
   FROM (SELECT capture_id, endpoint, count(*) AS sessions FROM v_sessions GROUP BY ALL) s
   LEFT JOIN (SELECT capture_id, endpoint, count(*) AS issues, sum({PENALTY.format(col='severity')}) AS pen, count(*) FILTER (WHERE severity = 'critical') AS crit FROM named GROUP BY ALL) u USING (capture_id, endpoint))""",
     "capture_flags": c.facts_with(FLAGS) + " SELECT * FROM flags",
-    "severity_gate": c.facts_with(c.FINDINGS) + f""" SELECT capture_id, {NAMES.format(col=f"min({RANKS.format(col='severity')})")} AS worst,
-  min({RANKS.format(col='severity')}) <= 0 AS fails FROM findings GROUP BY capture_id""",
+    "severity_gate": FULL + f""" SELECT capture_id, {NAMES.format(col=f"min({RANKS.format(col='severity')})")} AS worst,
+  min({RANKS.format(col='severity')}) <= 0 AS fails FROM all_findings GROUP BY capture_id""",
     "posture_by_capture": FULL + ", " + UNIQUE + ", " + FLAGS + ", " + CAPS + f""", base AS (
   SELECT k.capture_id, coalesce(g.sessions, 0) AS sessions, coalesce(g.cleartext_content, false) AS ct, coalesce(g.unverified_tls, false) AS uv,
     cast(greatest(0, 100 - coalesce((SELECT sum({PENALTY.format(col='severity')}) FROM named n WHERE n.capture_id = k.capture_id), 0)) AS bigint) AS earned_score,

@@ -88,14 +88,14 @@ FROM (SELECT *, concat_ws(', ', CASE WHEN expired THEN 'expired' END, CASE WHEN
 JOIN rr USING (capture_id, session_id) LEFT JOIN (SELECT capture_id, session_id, min({b.RANKS.format(col='severity')}) AS rk, count(*) AS n FROM all_findings GROUP BY ALL) w USING (capture_id, session_id)""",
     "report_kpis": b.FULL + ", " + b.UNIQUE + """ SELECT f.capture_id, count(*) AS sessions, count(*) FILTER (WHERE server_hello_seen) AS used_tls, count(*) FILTER (WHERE auth_mech IS NOT NULL AND auth_exposed) AS exposed,
   count(DISTINCT endpoint) AS endpoints, (SELECT count(*) FROM named n WHERE n.capture_id = f.capture_id) AS issues FROM facts f GROUP BY f.capture_id""",
-    "report_severity_shares": c.facts_with(c.FINDINGS) + " SELECT capture_id, severity, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY capture_id), 2) AS share FROM findings GROUP BY capture_id, severity",
+    "report_severity_shares": b.FULL + " SELECT capture_id, severity, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY capture_id), 2) AS share FROM all_findings GROUP BY capture_id, severity",
     "report_channels": with_clause(["v_sessions"]) + " SELECT capture_id, count(*) FILTER (WHERE mode = 'implicit') AS implicit_tls, count(*) FILTER (WHERE mode = 'starttls') AS starttls, count(*) FILTER (WHERE strip_text <> '') AS stripped, count(*) FILTER (WHERE mode = 'plaintext' AND strip_text = '') AS cleartext FROM v_sessions GROUP BY ALL",
     "report_protocols": with_clause(["v_sessions"]) + " SELECT capture_id, protocol, count(*) AS sessions FROM v_sessions GROUP BY ALL",
     "report_versions": c.facts_with() + """, lv AS (SELECT capture_id, CASE WHEN server_hello_seen THEN version_name ELSE 'No TLS' END AS version_name, 1 AS n FROM facts UNION ALL SELECT DISTINCT capture_id, 'TLS 1.3', 0 FROM facts)
 SELECT capture_id, version_name, sum(n)::bigint AS sessions FROM lv GROUP BY ALL""",
-    "report_finding_search": c.facts_with(c.FINDINGS) + """ SELECT capture_id, session_id, rule_id, severity FROM findings WHERE severity IN ('critical', 'high') AND (contains(lower(evidence), 'starttls')
-  OR (rule_id IN ('STRIP-001', 'INJ-001', 'PLAIN-001') AND (SELECT up FROM facts f WHERE f.capture_id = findings.capture_id AND f.session_id = findings.session_id) = 'STARTTLS'))""",
-    "report_session_detail": c.facts_with(c.FINDINGS) + " SELECT capture_id, session_id, endpoint, protocol, mode, version_name, cipher_name, (SELECT string_agg(rule_id, ' ' ORDER BY rule_id) FROM findings n WHERE n.capture_id = f.capture_id AND n.session_id = f.session_id) AS rules FROM facts f WHERE session_id = 8",
+    "report_finding_search": b.FULL + """ SELECT capture_id, session_id, rule_id, severity FROM all_findings WHERE severity IN ('critical', 'high') AND (contains(lower(evidence), 'starttls')
+  OR rule_id = 'BASE-001' OR (rule_id IN ('STRIP-001', 'INJ-001', 'PLAIN-001') AND (SELECT up FROM facts f WHERE f.capture_id = all_findings.capture_id AND f.session_id = all_findings.session_id) = 'STARTTLS'))""",
+    "report_session_detail": b.FULL + " SELECT capture_id, session_id, endpoint, protocol, mode, version_name, cipher_name, (SELECT string_agg(rule_id, ' ' ORDER BY rule_id) FROM all_findings n WHERE n.capture_id = f.capture_id AND n.session_id = f.session_id) AS rules FROM facts f WHERE session_id = 8",
     "report_capture_meta": with_clause(["v_sessions"]) + ", " + b.CAPS + """ SELECT k.capture_id, coalesce(min(start_ts), 0) AS capture_start, coalesce(max(end_ts), 0) AS capture_end, count(session_id) AS mail_sessions, count(*) FILTER (WHERE gaps > 0) AS with_gaps
   FROM caps k LEFT JOIN v_sessions s USING (capture_id) GROUP BY ALL""",
     "report_corpus_rollup": f"SELECT grade, count(*) AS captures, count(*) FILTER (WHERE sessions > 0) AS with_mail, sum(sessions)::bigint AS sessions, sum(critical)::bigint AS critical, sum(high)::bigint AS high FROM ({POSTURE}) GROUP BY ALL",
@@ -106,10 +106,10 @@ SELECT p.capture_id, p.grade, count(*) FILTER (WHERE bad) AS attacked, CASE WHEN
 UNION ALL SELECT capture_id, concat(count(*), ' session(s) identified from the client''s commands only'), 'partial' FROM ses WHERE identified_by = 'client-verbs' GROUP BY capture_id
 UNION ALL SELECT capture_id, concat(count(*), ' session(s) with missing bytes'), 'read' FROM ses WHERE gaps > 0 GROUP BY capture_id""",
     "report_timeline": c.facts_with() + STEPS + " SELECT capture_id, session_id, key, step FROM steps",
-    "report_timeline_findings": c.facts_with(c.FINDINGS) + STEPS + f""", w AS (SELECT *, {_FAMILY} AS want FROM findings)
+    "report_timeline_findings": b.FULL + STEPS + f""", w AS (SELECT *, {_FAMILY} AS want FROM all_findings)
 SELECT capture_id, session_id, rule_id, CASE WHEN regexp_matches(rule_id, 'PORT|TCP') THEN 1 ELSE coalesce((SELECT min(step) FROM steps s WHERE s.capture_id = w.capture_id AND s.session_id = w.session_id AND s.key = want[1]),
   (SELECT min(step) FROM steps s WHERE s.capture_id = w.capture_id AND s.session_id = w.session_id AND s.key = want[2]), (SELECT max(step) FROM steps s WHERE s.capture_id = w.capture_id AND s.session_id = w.session_id)) END AS step FROM w""",
-    "report_section_counts": c.facts_with(c.FINDINGS) + """ SELECT f.capture_id, count(*) AS sessions, count(DISTINCT endpoint) AS endpoints, (SELECT count(*) FROM findings n WHERE n.capture_id = f.capture_id AND severity <> 'info') AS findings,
+    "report_section_counts": b.FULL + """ SELECT f.capture_id, count(*) AS sessions, count(DISTINCT endpoint) AS endpoints, (SELECT count(*) FROM all_findings n WHERE n.capture_id = f.capture_id AND severity <> 'info') AS findings,
   (SELECT count(DISTINCT sha256) FROM v_certificates n WHERE n.capture_id = f.capture_id) AS certificates FROM facts f GROUP BY f.capture_id""",
     "session_export": b.FULL + ", " + RISKS + f""" SELECT capture_id, session_id, endpoint, protocol, mode, version_name, cipher_name, cgrade AS cipher_grade, CASE WHEN present THEN key_type END AS key_type, CASE WHEN present THEN key_bits END AS key_bits,
   hostname_match, trusted, rule_risk, coalesce((SELECT string_agg(DISTINCT rule_id, ' ' ORDER BY rule_id) FROM all_findings n WHERE n.capture_id = facts.capture_id AND n.session_id = facts.session_id), '') AS rule_ids,

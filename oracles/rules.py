@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracles import baseline as b
 from oracles import common as c
 
 FINDING_COLS = "capture_id, session_id, endpoint, rule_id, severity, evidence, cast(exploitability AS double) AS exploitability, cast(confidence AS double) AS confidence"
@@ -15,10 +16,10 @@ SQL = {
     "rules_transport": _rules(c.TRANSPORT_RULES),
     "rules_handshake": _rules(c.TLS_RULES),
     "rules_certificate": _rules(c.CERT_RULES),
-    "rule_fire_counts": c.facts_with(c.FINDINGS) + f"""
+    "rule_fire_counts": b.FULL + f"""
 SELECT k.rule_id, k.title, k.severity_text, count(f.session_id) AS fired
 FROM (VALUES {c.dims.values_sql(c.dims.RULE_CATALOG)}) AS k(rule_id, title, severity_text)
-LEFT JOIN findings f USING (rule_id) GROUP BY ALL""",
+LEFT JOIN all_findings f USING (rule_id) GROUP BY ALL""",
     "cipher_suite_profiles": f"""WITH {c.SUITES}
 SELECT x.code::bigint AS code, x.suite, x.kx, x.enc, x.mac, x.fs AS forward_secrecy, x.ad AS aead, x.tls13, x.weak AS weaknesses, x.grade,
   coalesce(n.sessions, 0) AS sessions FROM suites x LEFT JOIN (SELECT cipher_suite, count(*) AS sessions FROM ({c.with_clause(['v_handshakes'])}
