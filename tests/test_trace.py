@@ -52,3 +52,17 @@ def test_trace_deals_segments_once(spark):
     """Payloads cross the network once, however many steps read them."""
     plan = flows.trace(traffic(spark).repartition(4).where(F.col("frame") > 0))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_short_keys_are_scanned_without_summaries(spark):
+    from mailveil.operators import dialogue
+    from mailveil.operators.ordered import preceding
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice("ab"), i, rng.randrange(9) if rng.random() < 0.7 else None) for i in range(200)], "k string, o long, v long").withColumn("c", F.floor(F.col("o") / 16))
+    values = {"sums": {"s": F.col("v")}, "maxima": {"m": F.col("v")}, "last": {"l": F.col("v")}}
+    plain = preceding(df, ["k"], ["o"], None, **values)
+    assert told(plain) == told(preceding(df, ["k"], ["o"], "c", **values))
+    lines = spark.createDataFrame([("a", k, "250-x" if k % 3 else "250 x") for k in range(9)], "flow_id string, line_no long, line string")
+    short = dialogue.reply_lines(lines, ["flow_id"], chunked=False)
+    assert told(short) == told(dialogue.reply_lines(lines, ["flow_id"]))
+    assert "Join" not in short._jdf.queryExecution().executedPlan().toString()
