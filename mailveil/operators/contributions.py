@@ -128,4 +128,5 @@ def contributions(model, features: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(len(schema))], schema=schema)
 
     told = each.mapInArrow(work, "vector array<double>, feature_group string, phi double, risk double, reference_risk double")
-    return features.select(*KEYS, vector.alias("vector")).join(told, "vector").drop("vector")
+    # both sides grow with the sessions, whatever the sizes of their files suggest, so neither is sent through the driver
+    return features.select(*KEYS, vector.alias("vector")).join(told.hint("merge"), "vector").drop("vector")
