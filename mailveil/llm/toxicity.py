@@ -34,6 +34,8 @@ GAINS, SHARED = range(1, 8), 3
 #: Bounds of what training brings to the driver: runs, and different windows of each kind.
 RUNS, WINDOWS = 8192, 30_000
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 19, 1 << 17
+#: Text bytes whose runs or windows are counted at once: a byte gives up to three different runs, each an object of its own.
+COUNTED_BYTES = 1 << 18
 
 
 def windows(text: str) -> list[bytes]:
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         every = list(set(found[0]) | set(found[1]))
         return {"run": every, "toxic": [found[1][r] for r in every], "ordinary": [found[0][r] for r in every]}
 
-    counted = rows.per_batch(chosen, pa.schema([("run", pa.binary()), ("toxic", pa.int64()), ("ordinary", pa.int64())]), count_runs)
+    counted = rows.per_batch(chosen, pa.schema([("run", pa.binary()), ("toxic", pa.int64()), ("ordinary", pa.int64())]), count_runs, COUNTED_BYTES)
     share = (F.col("toxic") / float(sizes[1])) / ((F.col("ordinary") + 0.5) / float(sizes.get(0, 0) + 1))
     contrast = (counted.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
                 .where((F.col("toxic") >= min(sizes[1], max(LEAST_DOCS, LEAST_SHARE * sizes[1]))) & (share >= CONTRAST)).orderBy(F.desc("toxic"), "run").limit(RUNS))
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found[y].update((s for w in ws for s in stretches(w, wanted)) if y else (w for w in ws if wanted.isdisjoint(runs(w))))
         return {"window": list(found[0]) + list(found[1]), "label": [0] * len(found[0]) + [1] * len(found[1]), "n": list(found[0].values()) + list(found[1].values())}
 
-    seen = rows.per_batch(chosen, pa.schema([("window", pa.binary()), ("label", pa.int32()), ("n", pa.int64())]), count_windows).groupBy("label", "window").agg(F.sum("n").alias("n"))
+    seen = rows.per_batch(chosen, pa.schema([("window", pa.binary()), ("label", pa.int32()), ("n", pa.int64())]), count_windows, COUNTED_BYTES).groupBy("label", "window").agg(F.sum("n").alias("n"))
     samples = [{bytes(r["window"]): r["n"] for r in seen.where(F.col("label") == y).orderBy(F.desc("n"), "window").limit(WINDOWS).collect()} for y in (0, 1)]
     return _calibrate(Model(_dictionary(samples[0], ORDINARY_BYTES), _dictionary(samples[1], TOXIC_BYTES)), chosen)
 
