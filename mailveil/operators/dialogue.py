@@ -9,6 +9,7 @@ from mailveil.functions import text as tx
 from mailveil.operators.ordered import number_rows, preceding
 
 LINES_PER_PART = 4096     # rows per chunk of an ordered scan over lines
+SHORT_CHARS = 1 << 16     # a stream up to this size may be one row
 TRANSCRIPT_ROWS = 80
 TRANSCRIPT_CHARS = 220
 
@@ -26,13 +27,32 @@ def cut_text(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     return cut.select(*keys, "chunk", off.alias("off"), F.substring(F.col("text"), (off + 1).cast("int"), F.lit(size)).alias("text"))
 
 
-def stream_lines(chunks: DataFrame, keys: list[str], chunked: bool = True) -> DataFrame:
+def _whole_lines(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of streams that one row may hold and no chunk is missing from: the chunks are dealt once, nothing moves after that.
+
+    The number of parts is named, as texts that compress well would else be gathered into parts too large for memory.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    whole = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda c: c["text"]), "").alias("_text"), F.min("off").alias("_begin"))
+    cut = whole.select(*keys, "_begin", F.split("_text", "\n").alias("_pieces"))
+    rows = cut.select(*keys, "_begin", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_pos", "_raw"))
+    inside = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    complete = F.col("_pos") < F.col("_n") - 1
+    return rows.select(
+        *keys, F.col("_pos").cast("bigint").alias("line_no"), (F.col("_begin") + F.coalesce(F.sum(F.length("_raw") + 1).over(inside), F.lit(0))).alias("off"),
+        F.rtrim("_raw", F.lit("\r")).alias("line"), complete.alias("complete"),
+        (F.length("_raw") + complete.cast("int")).cast("bigint").alias("size")).where(F.col("complete") | (F.col("line") != ""))
+
+
+def stream_lines(chunks: DataFrame, keys: list[str], chunked: bool = True, whole: bool = False) -> DataFrame:
     """Lines of chunked streams: number, byte offset, text, whether a newline ended it, and the bytes it takes with its end.
 
     Input rows are (keys…, chunk, off, text). A chunk yields its pieces; the newline count
     before each chunk numbers them; pieces of a line that crosses a border meet by number. ``chunked`` says that a stream may
-    be too long for one task's scan.
+    be too long for one task's scan, ``whole`` that every stream is complete and has up to SHORT_CHARS characters.
     """
+    if whole:
+        return _whole_lines(chunks, keys)
     breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     counted = preceding(chunks.withColumn("_part", F.floor(F.col("chunk") / LINES_PER_PART).cast("bigint")),
                         keys, ["chunk"], "_part" if chunked else None, sums={"_before": breaks})
@@ -68,10 +88,10 @@ def reply_lines(lines: DataFrame, keys: list[str], chunked: bool = True) -> Data
     return preceding(parted, keys, ["line_no"], "_part" if chunked else None, sums={"reply_no": F.when(final, 1).otherwise(0)}).drop("_part")
 
 
-def smtp_replies(lines: DataFrame, keys: list[str]) -> DataFrame:
+def smtp_replies(lines: DataFrame, keys: list[str], chunked: bool = True) -> DataFrame:
     """One row per reply: code and text of its first line, number of lines."""
     first = F.min_by("line", "line_no")
-    return (reply_lines(lines, keys).groupBy(*keys, "reply_no").agg(
+    return (reply_lines(lines, keys, chunked).groupBy(*keys, "reply_no").agg(
         first.alias("_first"), F.count("*").alias("lines"), F.min("off").alias("off"), F.min("line_no").alias("first_line"))
         .select(*keys, F.col("reply_no").cast("bigint").alias("reply_no"),
                 F.coalesce(F.substring("_first", 1, 3).try_cast("int"), F.lit(0)).alias("code"),

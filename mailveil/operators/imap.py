@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailveil.operators import dialogue
@@ -15,14 +15,28 @@ def _use_number(rows: DataFrame, keys: list[str]) -> DataFrame:
     return number_rows(chunked, [*keys, "tag"], ["line_no"], "_part", "use").drop("_part")
 
 
-def commands(client_lines: DataFrame, server_lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Every tagged command with its status and answer; an unanswered one keeps nulls."""
+def _beside(asked: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """The n-th use of a tag beside its n-th answer, by two windows that leave every session where its lines are."""
+    both = asked.withColumn("_told", F.lit(False)).unionByName(told.withColumn("_told", F.lit(True)), allowMissingColumns=True)
+    used = both.withColumn("use", F.row_number().over(Window.partitionBy(*keys, "tag", "_told").orderBy("line_no")))
+    pair = Window.partitionBy(*keys, "tag", "use").orderBy("_told")
+    met = used.withColumns({c: F.lead(c).over(pair) for c in ("status", "answer")}).where(~F.col("_told"))
+    return met.select(*keys, "tag", "line_no", "verb", "arg", "status", "answer")
+
+
+def commands(client_lines: DataFrame, server_lines: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
+    """Every tagged command with its status and answer; an unanswered one keeps nulls.
+
+    ``whole`` says that every stream was short enough to be read as one row.
+    """
     words = F.split("line", " ", 3)
     asked = client_lines.where(F.size(words) >= 2).select(
         *keys, "line_no", F.get(words, F.lit(0)).alias("tag"), F.upper(F.get(words, F.lit(1))).alias("verb"),
         F.get(words, F.lit(2)).alias("arg"))
     told = server_lines.where(~F.col("line").rlike(r"^[*+]")).select(
         *keys, "line_no", F.get(words, F.lit(0)).alias("tag"), F.upper(F.get(words, F.lit(1))).alias("status"), F.col("line").alias("answer"))
+    if whole:
+        return _beside(asked, told, keys)
     answers = _use_number(told, keys).drop("line_no")
     return _use_number(asked, keys).join(answers, [*keys, "tag", "use"], "left").drop("use")
 
