@@ -7,7 +7,7 @@ was accepted and whether the next line answers a SASL challenge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailveil.functions import text as tx
@@ -40,8 +40,35 @@ def _turns(lines: DataFrame, replies: DataFrame, refused: DataFrame | None, keys
     return numbered.join(replies.select(*keys, "reply_no", "code", "reply"), [*keys, "reply_no"], "left").drop("_mark", "_before")
 
 
-def events(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
-    """Client lines as events: command, auth response, body, end of body.
+def _folded(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with body state, reply number, reply and the reply before it, by one fold over each session's lines.
+
+    Replies are numbered from 0 without gaps, as ``reply_lines`` numbers them. The fold keeps what a line cannot tell alone:
+    how many lines took a reply before it, and whether it lies in a body.
+    """
+    told = replies.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("reply_no", "code", "reply"))).alias("_told"))
+    carried = [c for c in lines.columns if c not in keys and c != "line_no"]
+    said = lines.withColumn("verb", _verb()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", *carried, "verb"))).alias("_said"))
+
+    def step(at: Column, line: Column) -> Column:
+        dot = line["line"] == "."
+        takes = F.when(at["body"], dot).otherwise(line["verb"] != "")
+        accepted = F.when(line["verb"] == "DATA", F.coalesce(F.get("_told", at["n"] + 1)["code"] == 354, F.lit(True))).otherwise(False)
+        return F.struct((at["n"] + takes.cast("int")).alias("n"), F.when(at["body"], ~dot).otherwise(accepted).alias("body"),
+                        F.concat(at["places"], F.array(F.struct(at["n"].alias("n"), at["body"].alias("body"), takes.alias("takes")))).alias("places"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("body"), F.array().cast("array<struct<n:int,body:boolean,takes:boolean>>").alias("places"))
+    placed = said.join(told, keys, "left").withColumn("_places", F.aggregate("_said", start, step, lambda at: at["places"]))
+    rows = F.zip_with("_said", "_places", lambda line, at: F.struct(
+        line.alias("line"), at.alias("at"), F.when(at["takes"], F.get("_told", at["n"] + 1)).alias("answer"),
+        F.when(at["n"] > 0, F.coalesce(F.get("_told", at["n"])["code"], F.lit(0))).alias("prev")))
+    return placed.select(*keys, F.explode(rows).alias("_r")).select(
+        *keys, F.when(F.col("_r.at.takes"), F.col("_r.at.n") + 1).cast("bigint").alias("reply_no"), "_r.line.*", F.col("_r.at.body").alias("in_body"),
+        F.col("_r.at.takes").alias("takes"), F.col("_r.answer.code").alias("code"), F.col("_r.answer.reply").alias("reply"), F.col("_r.prev").alias("_prev"))
+
+
+def _settled(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``_folded`` for sessions of any length, by ordered scans.
 
     A refused DATA opens no body, which moves every later line to another reply. Refusals are
     settled one per session and round, until none is left; a round reads only those sessions.
@@ -57,15 +84,23 @@ def events(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
             break
         pending = pending.join(firsts.select(*keys), keys, "left_semi")
         refused = firsts if refused is None else refused.unionByName(firsts)
-    coded = preceding(settled, keys, ["line_no"], PART, last={"_prev": F.when(F.col("takes"), F.coalesce("code", F.lit(0)))})
+    return preceding(settled, keys, ["line_no"], PART, last={"_prev": F.when(F.col("takes"), F.coalesce("code", F.lit(0)))}).drop("_refused")
+
+
+def events(lines: DataFrame, replies: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
+    """Client lines as events: command, auth response, body, end of body.
+
+    ``whole`` says that every stream was short enough to be read as one row.
+    """
+    coded = _folded(lines, replies, keys) if whole else _settled(lines, replies, keys)
     answers = ~F.col("in_body") & F.coalesce(F.col("_prev") == 334, F.lit(False))
     kind = (F.when(F.col("in_body"), F.when(F.col("line") == ".", "body-end").otherwise("body"))
             .when(answers, "auth-response").when(F.col("verb") != "", "command"))
     out = coded.withColumn("kind", kind)
     is_auth = (F.col("kind") == "command") & (F.col("verb") == "AUTH")
-    out = preceding(out, keys, ["line_no"], PART, last={"_auth": F.when(is_auth, F.col("line_no"))})
+    out = preceding(out, keys, ["line_no"], None if whole else PART, last={"_auth": F.when(is_auth, F.col("line_no"))})
     return out.withColumn("auth_no", F.when(is_auth, F.col("line_no")).when(F.col("kind") == "auth-response", F.col("_auth"))) \
-        .drop("_auth", "_prev", "_refused", "takes", PART)
+        .drop("_auth", "_prev", "takes", PART)
 
 
 def auth_events(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,29 +116,39 @@ def auth_events(rows: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, tx.sasl_event(F.col("mechanism"), given, F.col("accepted")).alias("event")).select(*keys, "event.*")
 
 
+def _body_size(eol: int = 2) -> Column:
+    return F.when(F.col("kind") == "body-end", F.lit(1 + eol)).otherwise(F.length("line") + eol)
+
+
 def message_bytes(rows: DataFrame, keys: list[str], eol: int = 2) -> DataFrame:
     """Bytes of message bodies outside TLS, terminator included."""
-    body = rows.where("in_body")
-    size = F.when(F.col("kind") == "body-end", F.lit(1 + eol)).otherwise(F.length("line") + eol)
-    return body.groupBy(*keys).agg(F.sum(size).cast("bigint").alias("message_bytes"))
-
-
-def sessions(rows: DataFrame, server_lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Greeting, capabilities, upgrade state and indicators of every session."""
-    greeted = rows.where((F.col("kind") == "command") & F.col("verb").isin("EHLO", "HELO"))
-    greeting = greeted.groupBy(*keys).agg(F.min_by("verb", "line_no").alias("greeting_verb"),
-                                          F.max_by("reply_no", F.when((F.col("verb") == "EHLO") & (F.col("code") == 250), F.col("line_no"))).alias("reply_no"))
-    told = dialogue.reply_lines(server_lines, keys).withColumn("reply_no", F.col("reply_no").cast("bigint"))
-    listed = told.join(greeting.select(*keys, "reply_no"), [*keys, "reply_no"])
-    caps = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    tokens = F.transform(F.filter("_l", lambda x, k: k > 0), lambda x: F.substring(x["line"], F.lit(5), F.length(x["line"])))
-    upgrade = rows.where((F.col("kind") == "command") & (F.col("verb") == "STARTTLS"))
-    asked = upgrade.groupBy(*keys).agg(F.min_by(F.struct("code", "reply"), "line_no").alias("u"))
+    return rows.where("in_body").groupBy(*keys).agg(F.sum(_body_size(eol)).cast("bigint").alias("message_bytes"))
+
+
+def sessions(rows: DataFrame, server_lines: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
+    """Greeting, capabilities, upgrade state and indicators of every session.
+
+    ``whole`` says that every stream was short enough to be read as one row.
+    """
+    command = F.col("kind") == "command"
+    greeted = command & F.col("verb").isin("EHLO", "HELO")
+    listing = command & (F.col("verb") == "EHLO") & (F.col("code") == 250)
+    per = rows.groupBy(*keys).agg(
+        F.count_if(command).alias("commands"), F.min_by("verb", F.when(greeted, F.col("line_no"))).alias("greeting_verb"),
+        F.max_by("reply_no", F.when(listing, F.col("line_no"))).alias("reply_no"),
+        F.min_by(F.struct("code", "reply"), F.when(command & (F.col("verb") == "STARTTLS"), F.col("line_no"))).alias("u"),
+        F.sum(F.when(F.col("in_body"), _body_size())).cast("bigint").alias("message_bytes"))
+    told = dialogue.reply_lines(server_lines, keys, not whole).withColumn("reply_no", F.col("reply_no").cast("bigint"))
+    if not whole:   # a reply may be long there: only the one that answers the greeting is gathered
+        per = cut_lineage(per)
+        told = told.join(per.select(*keys, "reply_no"), [*keys, "reply_no"], "left_semi")
+    rest = F.struct("reply_no", "line_no", F.substring(F.col("line"), F.lit(5), F.length("line")).alias("rest"))
+    listed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(rest)).alias("_told"))
+    caps = F.filter("_told", lambda r: r["reply_no"] == F.col("reply_no"))
+    tokens = F.transform(F.slice("_caps", 2, F.greatest(F.size("_caps") - 1, F.lit(0))), lambda x: x["rest"])
     smtp = F.lit("SMTP")
-    out = (rows.groupBy(*keys).agg(F.count_if(F.col("kind") == "command").alias("commands"))
-           .join(greeting.drop("reply_no"), keys, "left")
-           .join(caps.select(*keys, dialogue.capabilities(tokens).alias("capabilities")), keys, "left")
-           .join(asked, keys, "left").join(message_bytes(rows, keys), keys, "left"))
+    out = (per.join(listed, keys, "left").withColumn("_caps", caps)
+           .withColumn("capabilities", F.when(F.size("_caps") > 0, dialogue.capabilities(tokens))))
     requested = F.col("u").isNotNull()
     refusal = F.array_compact(F.array(dialogue.refusal_indicator(smtp, requested, F.col("u.code"), F.col("u.reply"))))
     mangled = F.coalesce(dialogue.mangled_indicators(F.col("capabilities"), smtp), F.array().cast("array<string>"))

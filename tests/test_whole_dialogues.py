@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from mailveil.operators import dialogue, imap
+from mailveil.operators import dialogue, imap, smtp
 from mailveil.plans import catalog, views
 
 KEYS = ["s"]
@@ -60,3 +60,24 @@ def test_long_dialogues_go_in_chunks(spark, monkeypatch):
 
 def test_imap_dialogues_move_once(spark, unbroadcast):
     assert exchanges(catalog.imap_commands(spark, FOLDER)) == 2 and exchanges(catalog.imap_login_events(spark, FOLDER)) == 2
+
+
+def test_smtp_events_of_whole_dialogues(spark):
+    """Refused and accepted DATA, bodies that hold commands, SASL answers, replies that are missing: one fold equals the rounds."""
+    rng = random.Random(7)
+    client = ["EHLO c", "helo c", "DATA", "data x", ".", "body", "", " x", "AUTH LOGIN", "AUTH PLAIN eA==", "dXNlcg==", "STARTTLS", "RSET"]
+    server = ["220 hi", "250-mx", "250-STARTTLS", "250 XXXXXXXX", "354 go", "354 go", "334 VXNlcm5hbWU6", "235 ok", "503 no", "junk", "454 later"]
+    said = ["".join(rng.choice(client) + "\r\n" for _ in range(rng.randrange(14))) for _ in range(150)]
+    answered = ["".join(rng.choice(server) + "\r\n" for _ in range(rng.randrange(12))) for _ in range(150)]
+    found = []
+    for whole in (True, False):
+        heard = lines_of(spark, answered, whole).where("complete")
+        rows = smtp.events(lines_of(spark, said, whole).where("complete"), dialogue.smtp_replies(heard, KEYS, not whole), KEYS, whole).cache()
+        found.append([told(rows), told(smtp.auth_events(rows, KEYS)), told(smtp.sessions(rows, heard, KEYS, whole)), set(rows.columns)])
+    assert found[0] == found[1] and len(found[0][0]) > 500 and found[0][1]
+
+
+def test_smtp_dialogues_move_once(spark, unbroadcast):
+    """Both sides once; capabilities read the server's lines again."""
+    for query, most in ((catalog.smtp_events, 2), (catalog.smtp_auth_events, 2), (catalog.smtp_sessions, 3)):
+        assert exchanges(query(spark, FOLDER)) <= most
