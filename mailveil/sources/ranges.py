@@ -204,10 +204,10 @@ class Classic:
 class Blocks:
     """Blocks of a pcapng capture."""
 
-    first, order, note, complete = 0, "<", None, True
+    first, note, complete = 0, None, True
 
     def __init__(self, data: Bytes):
-        self.data = data
+        self.data, self.order = data, ">" if data.at(8, 4) == b"\x1a\x2b\x3c\x4d" else "<"
 
     def _header(self, at: int, order: str) -> tuple[int, int, str] | None:
         head = self.data.at(at, 12)
@@ -232,6 +232,16 @@ class Blocks:
             at += size
         return True
 
+    def _shadow(self, at: int, order: str) -> bool:
+        """Whether a chain is more likely that of the file's own byte order, read three bytes off.
+
+        Short blocks that end in zeros read alike in the other order from three bytes before (little-endian) or behind (big-endian).
+        """
+        if order == self.order or self.data.at(at, 4) == b"\x0a\x0d\x0d\x0a":
+            return False
+        twin = at + 3 if order == ">" else at - 3
+        return twin >= 0 and self._chained(twin, self.order)
+
     def find(self, lo: int, hi: int) -> tuple[int, str]:
         """First place in [lo, hi) where CHAIN blocks, or the last ones of the file, follow one another."""
         while lo < hi:
@@ -241,7 +251,7 @@ class Blocks:
             kinds = {o: np.ndarray((len(buffer) - 11,), o + "u4", buffer, 0, (1,)) for o in "<>"}
             for offset in np.flatnonzero(np.isin(kinds["<"], BLOCKS + [SECTION]) | np.isin(kinds[">"], BLOCKS)):
                 for order in "<>":
-                    if self._chained(lo + int(offset), order):
+                    if self._chained(lo + int(offset), order) and not self._shadow(lo + int(offset), order):
                         return lo + int(offset), self._header(lo + int(offset), order)[2]
             lo += len(buffer) - 11
         return OPEN, self.order
@@ -323,12 +333,15 @@ def _index(resume: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for path, part, lo, hi, start, order in zip(*(batch[c] for c in ("capture_id", "part", "lo", "hi", "start", "start_order"))):
                 known = None if pd.isna(start) else (int(start), order)
                 if (row := _walked(path, int(part), int(hi), known, int(lo), resume)) is None:
                     continue
                 definitions = [{"section": s, "linktype": t, "num": str(n), "den": str(d)} for s, t, n, d in row[-1]]
-                yield pd.DataFrame([(path, part, lo, *row[:-1], definitions)], columns=names)
+                rows.append((path, part, lo, *row[:-1], definitions))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
     return walk
 
 
@@ -396,6 +409,7 @@ def _checked(ranges: DataFrame) -> DataFrame:
                               "due_order": F.when(own, F.col("guess_order")).otherwise(order_before)})
     # an order without a position means nothing
     due = due.withColumn("wrong", (F.col("due") != F.col("start")) | ((F.col("due") >= 0) & (F.col("due_order") != F.col("start_order"))))
+    due = due.withColumn("unsure", F.coalesce(F.lag("wrong").over(_in_file()), F.lit(False)))
     earlier = _in_file().rowsBetween(Window.unboundedPreceding, -1)
     wrong_before = F.coalesce(F.max("wrong").over(_in_file()), F.lit(False))
     due = due.withColumn("sure_stop", (F.col("end") == STOPPED) & ~wrong_before)
@@ -404,21 +418,28 @@ def _checked(ranges: DataFrame) -> DataFrame:
 
 
 def _settled(ranges: DataFrame, tasks: int, resume: bool) -> DataFrame:
-    """Ranges that all begin where the range before them ends."""
+    """Ranges that all begin where the range before them ends.
+
+    A range behind a wrong one may be right, as the end it was held against is not sure. So every other round leaves it alone until
+    the one before it was walked again; else one wrong guess would spread to the end of its file, a range a round.
+    """
     kept = [f.split()[0] for f in RANGE_SCHEMA.split(", ")[:13]]
     for turn in range(ROUNDS + 1):
         checked = cut_lineage(_checked(ranges))
         wrong = checked.where("wrong")
         if wrong.isEmpty():
             return checked.select(kept)
+        if turn % 2 == 0:
+            wrong = wrong.where("NOT unsure")
         if turn == ROUNDS:
-            unsettled = wrong.select("capture_id").distinct()
+            unsettled = checked.where("wrong").select("capture_id").distinct()
             whole = (checked.join(unsettled, "capture_id", "left_semi").where("part = 0")
                      .withColumns({"hi": F.lit(WHOLE), "definitions": F.lit(None).cast(DEFINITION)}))
             return checked.join(unsettled, "capture_id", "left_anti").select(kept).unionByName(whole.select(kept))
         again = (wrong.withColumns({"start": F.col("due"), "start_order": F.col("due_order")})
                  .select("capture_id", "part", "lo", "hi", "start", "start_order").repartition(tasks, "capture_id", "part"))
-        ranges = checked.where("not wrong").select(kept).unionByName(again.mapInPandas(_index(resume), RANGE_SCHEMA))
+        still = F.col("wrong") & F.col("unsure") if turn % 2 == 0 else F.lit(False)
+        ranges = checked.where(~F.col("wrong") | still).select(kept).unionByName(again.mapInPandas(_index(resume), RANGE_SCHEMA))
     raise AssertionError
 
 
@@ -428,8 +449,8 @@ def frames(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, resum
 
     A row without frame number carries a reading note. An implausible record length ends a file, as nothing
     after it is certain; with `resume` reading goes on at the next place where CHAIN records follow one
-    another. The result does not depend on `range_bytes`; `tasks`, one for each range unless given, share
-    the ranges. Empty files give no row, foreign files and
+    another. The result does not depend on `range_bytes`. `tasks` share the ranges: unless given, one for each RANGE_BYTES
+    and four for each core at least, but no more than there are ranges. Empty files give no row, foreign files and
     damaged compressed ones a note.
     """
     ship_package(spark)
@@ -437,7 +458,9 @@ def frames(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, resum
              .where(F.col("path").rlike(CAPTURE_PATH) & (F.col("length") > 0))
              .select(F.col("path").alias("capture_id"), "length"))
     if tasks is None:
-        tasks = max(1, min(int(files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1), 50_000))
+        length = F.col("length")
+        ranges, full = files.agg(F.sum(F.ceil(length / range_bytes)), F.ceil(F.sum(length) / RANGE_BYTES)).first()
+        tasks = max(1, min(int(ranges or 1), max(int(full or 1), 4 * spark.sparkContext.defaultParallelism), 50_000))
     cut = (files.select("capture_id", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes))).alias("part"))
            .select("capture_id", F.col("part").cast("bigint").alias("part"), (F.col("part") * range_bytes).cast("bigint").alias("lo"),
                    F.least(F.col("length"), (F.col("part") + 1) * range_bytes).cast("bigint").alias("hi"),

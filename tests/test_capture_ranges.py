@@ -92,3 +92,24 @@ def test_reading_goes_on_behind_damage(spark, folder):
         count = [sum(r[0] == name and r[5] is None for r in rows) for rows in (whole, stopped)]
         assert count[0] > count[1] * (times - 0.8), (name, count)
         assert [r[5] for r in whole if r[0] == name and r[5]][0].endswith("found")
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_blocks_that_read_alike_three_bytes_off(spark, tmp_path, monkeypatch, order):
+    """Short blocks that end in zeros are chains in the other byte order too; a guess takes the file's own, and wrong ones do not spread."""
+    head = block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(order, 1, struct.pack(order + "HHI", 1, 0, 0))
+    body = b"".join(block(order, 6, struct.pack(order + "IIIII", 0, 0, k, 40, 40) + bytes([k % 9]) * (37 if k % 5 else 40) + bytes(3 if k % 5 else 0)) for k in range(400))
+    (tmp_path / "zeros.pcapng").write_bytes(head + body)
+    rounds, real = [], ranges._checked
+    monkeypatch.setattr(ranges, "_checked", lambda df: rounds.append(1) or real(df))
+    whole = rows_of(ranges.frames(spark, str(tmp_path), tasks=4))
+    assert len(whole) == 400 and rows_of(ranges.frames(spark, str(tmp_path), range_bytes=500, tasks=4)) == whole
+    assert len(rounds) == 2  # one for each reading: every guess was right
+    monkeypatch.setattr(ranges.Blocks, "_shadow", lambda self, at, way: False)
+    rounds.clear()
+    assert rows_of(ranges.frames(spark, str(tmp_path), range_bytes=500, tasks=4)) == whole
+
+
+def test_ranges_share_tasks(spark, folder):
+    """A range is a few numbers; a task for each would cost more than its reading."""
+    assert ranges.frames(spark, str(folder), range_bytes=100).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
