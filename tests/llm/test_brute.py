@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from mailveil.llm import bpe, decontaminate, fixity, jaccard, lines, pitman_yor, quality, secrets, toxicity
@@ -146,6 +147,13 @@ def test_language_model_base_and_gain(spark, texts, head, monkeypatch):
     assert sum(r["score"] for r in out.values() if r["held_out"]) > sum(r["base_score"] for r in out.values() if r["held_out"])
 
 
+def test_contexts_are_the_most_frequent_words_of_all_slices(spark, monkeypatch):
+    """A word that is never among a slice's own most frequent ones may still be the most frequent of all."""
+    monkeypatch.setattr(pitman_yor, "SLICE", 1)  # a text is a slice
+    texts = spark.createDataFrame([(" ".join(["common", *(f"w{k}x{j} w{k}x{j}" for j in range(200))]),) for k in range(30)], "text string")
+    assert pitman_yor.frequent_words(texts)[0] == pitman_yor.words.word_hashes(pa.array(["common"]), pitman_yor.words.SPACED)[0][0]
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([(k, f"a b c{k % 7} a d{k % 3}") for k in range(40)], "doc_id long, text string").select("text")
     seated, state = pitman_yor.seat(pitman_yor.counts(texts, pitman_yor.frequent_words(texts)))
